@@ -1,0 +1,85 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomcell.llm import packing
+
+SCHEMA = "doc_id long, text string, shard string, length string"
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return packing.Encoder(packing.tokenizer_path())
+
+
+@given(st.text(alphabet="aThe'ss é\n\t\x0b\x1f\x85\xa0  ,.12!|", max_size=50))
+@settings(max_examples=400, deadline=None)
+def test_segments_give_the_ids_of_the_whole_text(text):
+    e = packing.encoder(packing.tokenizer_path())
+    want = e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e(text), "<u4").tolist() == want
+
+
+def test_nnls_against_a_known_solution():
+    a = np.array([[1, 0, 1], [0, 1, 1]], np.float32)
+    x = packing.nnls(a, np.array([3.0, 2.0]))
+    assert (x >= 0).all() and np.allclose(a @ x, [3, 2], atol=1e-4)
+    assert np.allclose(packing.nnls(np.array([[1.0], [1.0]], np.float32), np.array([-1.0, -2.0])), 0)
+
+
+@given(st.lists(st.integers(1, 2048), max_size=300), st.sampled_from([2048, 64]))
+@settings(max_examples=12, deadline=None)
+def test_assignment_is_gapless_and_fits(lengths, window):
+    lengths = np.array([min(x, window) for x in lengths], np.int64)
+    plan = packing.solve(np.bincount(lengths, minlength=window + 1).astype(float), window)
+    sequence, offset = packing.assign(lengths, plan, 1.0, window)
+    for s in set(sequence.tolist()):
+        own = sorted((int(offset[k]), int(lengths[k])) for k in np.flatnonzero(sequence == s))
+        at = 0
+        for start, n in own:
+            assert start == at
+            at += n
+        assert at <= window
+
+
+def test_little_padding():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(2048, rng.lognormal(6, 1, 12000).astype(np.int64) + 1)
+    plan = packing.solve(np.bincount(lengths, minlength=2049).astype(float))
+    sequence, _ = packing.assign(lengths, plan)
+    used = lengths.sum() / ((sequence.max() + 1) * 2048)
+    assert used > 0.975, used
+
+
+def test_every_id_lies_in_one_piece(spark, encoder):
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta,", "x1"]) for _ in range(rng.randrange(1500))), "s", None) for k in range(60)]
+    rows += [(100, None, None, None), (101, "", None, None), (102, "big " * 9000, None, None), (103, "same", "", ""), (103, "same", "", ""), (None, "no id", None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = packing.pack(packing.pieces(docs), shard=20).collect()
+    whole = {}
+    for doc_id, text, *_ in rows:
+        whole[doc_id] = encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+        ids = np.array(whole[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32 and r.doc_tokens == len(whole[r.doc_id])
+    assert set(by) == set(whole)
+    for doc_id, own in by.items():
+        times = 2 if doc_id == 103 else 1
+        assert sorted(x for r in own for x in range(r.start, r.start + r.length)) == sorted(list(range(len(whole[doc_id]))) * times)
+    spots = {}
+    for r in got:
+        spots.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in spots.values():
+        at = 0
+        for start, n in sorted(own):
+            assert start == at
+            at += n
+        assert at <= 2048
+    assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
