@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from functools import lru_cache
 
@@ -60,30 +59,18 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, with a memo of word segments.
-
-    The byte-level pattern never joins across a single space or newline that stands
-    between two characters that are not white space, so a text may be cut before such
-    a space and around such a newline, and the ids of the segments in a row are those
-    of the text.  Texts with other white space are encoded as they are.
+    """Ids of whole texts as little-endian 32-bit bytes.
 
     Where the ids of a vocabulary follow the order of its merges, the same merges are
     run by tiktoken, which gives the ids of ``tokenizers`` several times as fast; texts
     that hold a special token's string, and other vocabularies, go to ``tokenizers``.
     """
 
-    MEMO = 400_000
-    #: White space next to white space or at an end of the text, or any but space and newline.
-    ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$|\x85")
-    PART = re.compile(r"\n| ?[^ \n]+")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.fast = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -96,47 +83,16 @@ class Encoder:
             letters = _byte_letters()
             ranks = {bytes(letters[c] for c in t): k for t, k in vocab.items() if t not in self.special}
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.spaced = np.zeros(max(ranks.values()) + 1, bool)
-            self.spaced[[k for t, k in ranks.items() if t[:1] == b" "]] = True
-
-    def plain(self, text: str) -> bytes:
-        """By ``tokenizers`` alone."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, parts: set[str]) -> None:
-        """Put segments in the memo; those with a leading space are encoded in one go and told apart by it."""
-        memo, encode = self.memo, self.fast.encode_ordinary
-        spaced = [p for p in parts if p[0] == " "]
-        ids = np.array(encode("".join(spaced)), "<u4")
-        starts = np.flatnonzero(self.spaced[ids]) * 4
-        data = ids.tobytes()
-        memo.update(zip(spaced, (data[a:b] for a, b in zip(starts, np.append(starts[1:], len(data))[: len(starts)], strict=True)), strict=True))
-        for p in parts:
-            if p[0] != " ":
-                memo[p] = np.array(encode(p), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.fast is None or any(t in text for t in self.special):
-            return self.plain(text)
-        if self.ODD.search(text):
-            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-        parts = self.PART.findall(text)
-        memo = self.memo
-        missing = set(parts).difference(memo)
-        if missing:
-            if len(memo) + len(missing) > self.MEMO:  # what was not asked for since the last time goes
-                self.old, self.memo = memo, {}
-                memo, missing = self.memo, set(parts)
-            old = self.old
-            known = [p for p in missing if p in old]
-            memo.update((p, old[p]) for p in known)
-            self.learn(missing.difference(known))
-        return b"".join([memo[p] for p in parts])
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
-    """One for each worker process; its memo serves all its tasks."""
+    """One for each worker process."""
     return Encoder(path)
 
 

@@ -247,13 +247,14 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "
     refs = spark.sparkContext.broadcast(references(docs, rules, text, lang))
     carry = docs.columns if carry is None else carry
     names = [f"c{k}" for k in range(len(carry))]
-    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], F.col(text).alias("text"))
+    at = carry.index(text) if text in carry else len(carry)
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip([*carry, text], [*names, "text"], strict=True)][: max(at + 1, len(carry))])
 
     def score(batches):
         scorer = Scorer(refs.value)
-        for batch, column in texts(batches):
+        for batch in batches:
             rows = []
-            for t in column:
+            for t in batch.column(at).to_pylist():
                 data = (t or "").encode()
                 bytes_ = histogram(data)
                 base = base_counts(data, bytes_)
@@ -262,7 +263,7 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "
                 rows.append((*base, failed, not failed and verdict(char, word, n_chars, n_words, rules), char, word))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             added = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], [*names, *[x.split()[0] for x in MEASURES.split(", ")]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], [*names, *[x.split()[0] for x in MEASURES.split(", ")]])
 
     schema = own.select(*names).schema
     for part in MEASURES.split(", "):
@@ -273,8 +274,10 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "
 
 def kept_documents(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    scored = quality(docs.select("*", F.col("text").alias("_text"), F.col("lang").alias("_lang")), rules, "_text", "_lang", docs.columns)
-    return scored.filter("kept").select(*scored.columns[: len(docs.columns)])
+    scored = quality(docs, rules)
+    verdict_at = len(docs.columns) + [x.split()[0] for x in MEASURES.split(", ")].index("kept")
+    scored = scored.toDF(*[f"_lc_{k}" for k in range(len(scored.columns))]).filter(F.col(f"_lc_{verdict_at}"))
+    return scored.select(*[F.col(f"_lc_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,14 +16,20 @@ def encoder():
     return packing.Encoder(packing.tokenizer_path())
 
 
-@given(st.text(alphabet="aThe'ss é\n\t\x0b\x1f\x85\xa0  ,.12!|", max_size=50))
+@given(st.text(alphabet="aThe'ss é\n\t\x0b\x1f\x85\xa0  ,.12!|<endoftext>", max_size=50))
 @settings(max_examples=400, deadline=None)
-def test_segments_give_the_ids_of_the_whole_text(text):
+def test_ids_are_those_of_tokenizers(text):
     e = packing.encoder(packing.tokenizer_path())
     want = e.tokenizer.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(e(text), "<u4").tolist() == want
 
 
+def test_special_strings_and_a_long_word():
+    e = packing.encoder(packing.tokenizer_path())
+    for text in ("a<|endoftext|> b", "x" * 30000):
+        assert np.frombuffer(e(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_nnls_against_a_known_solution():
     a = np.array([[1, 0, 1], [0, 1, 1]], np.float32)
     x = packing.nnls(a, np.array([3.0, 2.0]))
