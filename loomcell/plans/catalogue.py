@@ -1,4 +1,385 @@
-"""Named queries over the driver's tables and their DuckDB twins."""
+"""Named queries over the driver's tables, each with its DuckDB twin."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomcell.functions import alphabet
+from loomcell.operators import align, cells, genome, intervals, kmers, quant, refmodel
+from loomcell.plans import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+K, STRIDE = 15, 8
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+near_bc = lambda c: alphabet.code_neighbours(c, fixtures.BC_LEN)
+near_umi = lambda c: alphabet.code_neighbours(c, fixtures.UMI_LEN)
+
+# --- strings -------------------------------------------------------------------------
+
+LETTERS = "letters AS (SELECT doc_id AS id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS seq FROM documents)"
+NORM = "regexp_replace(upper(seq), '[^ACGT]', 'N', 'g')"
+
+
+@query(f"WITH {LETTERS} SELECT id, translate({NORM}, 'ACGTN', '01234') AS digits, len({NORM}) AS n FROM letters")
+def nucleotide_codes(spark, sf_dir):
+    s = alphabet.normalise(F.col("seq"))
+    return fixtures.letters(spark, sf_dir).select("id", F.translate(s, "ACGTN", "01234").alias("digits"), F.length(s).cast("long").alias("n"))
+
+
+@query(f"WITH {LETTERS} SELECT id, reverse(translate({NORM}, 'ACGT', 'TGCA')) AS rc FROM letters")
+def reverse_complement(spark, sf_dir):
+    return fixtures.letters(spark, sf_dir).select("id", alphabet.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(f"WITH {LETTERS} SELECT id, contains({NORM}, 'N') AS has_n, CAST(len({NORM}) - len(replace({NORM}, 'N', '')) AS BIGINT) AS n_count FROM letters")
+def contains_n(spark, sf_dir):
+    s = alphabet.normalise(F.col("seq"))
+    return fixtures.letters(spark, sf_dir).select("id", alphabet.contains_n(F.col("seq")).alias("has_n"), (F.length(s) - F.length(F.replace(s, F.lit("N"), F.lit("")))).cast("long").alias("n_count"))
+
+
+ENDS = f"ends AS (SELECT id, substr({NORM}, 1, 16) AS bc, substr({NORM}, 17, 10) AS umi FROM letters WHERE len(seq) >= 26)"
+CODE = "list_reduce(list_transform(string_split(translate({0}, 'ACGTN', '01234'), ''), lambda c: CAST(c AS BIGINT)), lambda a, d: a * 5 + d)"
+
+
+def _ends(spark, sf_dir):
+    s = alphabet.normalise(F.col("seq"))
+    return fixtures.letters(spark, sf_dir).filter("length(seq) >= 26").select("id", F.substring(s, 1, 16).alias("bc"), F.substring(s, 17, 10).alias("umi"))
+
+
+@query(f"WITH {LETTERS}, {ENDS} SELECT id, {CODE.format('bc')} AS bc_code, {CODE.format('umi')} AS umi_code FROM ends")
+def encode_base5(spark, sf_dir):
+    return _ends(spark, sf_dir).select("id", alphabet.encode(F.col("bc")).alias("bc_code"), alphabet.encode(F.col("umi")).alias("umi_code"))
+
+
+@query(f"WITH {LETTERS}, {ENDS} SELECT id, bc, umi FROM ends")
+def decode_base5(spark, sf_dir):
+    """There and back again: the twin is the plain substring."""
+    own = encode_base5(spark, sf_dir)
+    return own.select("id", alphabet.decode(F.col("bc_code"), 16).alias("bc"), alphabet.decode(F.col("umi_code"), 10).alias("umi"))
+
+
+@query(f"WITH {LETTERS}, {ENDS} SELECT id, ({CODE.format('umi')} << 22) | (id % 4194304) AS key, {CODE.format('umi')} AS umi, id % 4194304 AS gene FROM ends")
+def key_packing(spark, sf_dir):
+    own = encode_base5(spark, sf_dir).select("id", alphabet.pack_key(F.col("umi_code"), F.col("id") % (1 << 22)).alias("key"))
+    umi, gene = alphabet.unpack_key(F.col("key"))
+    return own.select("id", "key", umi.alias("umi"), gene.alias("gene"))
+
+
+@query(
+    f"""WITH {LETTERS}, {ENDS}, p AS (SELECT id, bc, unnest(range(1, 17)) AS p FROM ends), c AS (SELECT *, unnest(['A', 'C', 'G', 'T']) AS c FROM p)
+    SELECT id, substr(bc, 1, p - 1) || c || substr(bc, p + 1) AS near FROM c WHERE substr(bc, p, 1) <> c"""
+)
+def hamming_neighbours(spark, sf_dir):
+    return _ends(spark, sf_dir).select("id", F.explode(alphabet.neighbours(F.col("bc"), 16)).alias("near"))
+
+
+# --- k-mers --------------------------------------------------------------------------
+
+
+def _seq(table: str, key: str, name: str) -> str:
+    return f"{name} AS (SELECT {key} AS id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', '', 'g') AS seq FROM {table})"
+
+
+POSTINGS = f"{_seq('documents', 'doc_id', 'docs')}, w AS (SELECT id, seq, unnest(range(0, len(seq) - {K} + 1)) AS pos FROM docs WHERE len(seq) >= {K}), postings AS (SELECT id, pos, substr(seq, pos + 1, {K}) AS kmer FROM w)"
+SEEDS = f"{_seq('benchmark', 'item_id', 'items')}, o AS (SELECT id, seq, unnest(range(0, len(seq) - {K} + 1, {STRIDE})) AS off FROM items WHERE len(seq) >= {K}), seeds AS (SELECT id AS read_id, off, substr(seq, off + 1, {K}) AS kmer FROM o)"
+HITS = f"{POSTINGS}, {SEEDS}, hits AS (SELECT read_id, p.id AS target_id, off, p.pos - off AS diag FROM seeds JOIN postings p USING (kmer))"
+
+
+def _postings(spark, sf_dir):
+    return kmers.postings(fixtures.sequences(spark, sf_dir, "documents", "doc_id"), K)
+
+
+def _items(spark, sf_dir):
+    return fixtures.sequences(spark, sf_dir, "benchmark", "item_id")
+
+
+def _hits(spark, sf_dir):
+    return kmers.seed_join(kmers.seeds(_items(spark, sf_dir), K, plain=True), _postings(spark, sf_dir))
+
+
+@query(f"WITH {POSTINGS} SELECT id, pos, kmer FROM postings")
+def kmer_postings(spark, sf_dir):
+    return _postings(spark, sf_dir)
+
+
+@query(f"WITH {POSTINGS} SELECT count(DISTINCT kmer) AS n_kmers, count(*) AS n_positions FROM postings")
+def kmer_stats(spark, sf_dir):
+    return kmers.statistics(_postings(spark, sf_dir))
+
+
+@query(f"WITH {POSTINGS} SELECT id, pos, kmer FROM postings WHERE kmer IN (SELECT kmer FROM postings GROUP BY kmer HAVING count(*) < 4)")
+def kmer_frequency_cutoff(spark, sf_dir):
+    return kmers.cutoff(_postings(spark, sf_dir), 4)
+
+
+@query(f"WITH {SEEDS} SELECT read_id, off AS \"offset\", kmer FROM seeds")
+def seed_plan(spark, sf_dir):
+    return kmers.seeds(_items(spark, sf_dir), K, plain=True)
+
+
+@query(f"WITH {HITS} SELECT read_id, target_id, off AS \"offset\", diag FROM hits")
+def seed_join(spark, sf_dir):
+    return _hits(spark, sf_dir)
+
+
+@query(f"WITH {HITS} SELECT read_id, target_id, diag, count(*) AS n_seeds, string_agg(CAST(off AS VARCHAR), ',' ORDER BY off) AS offsets FROM (SELECT DISTINCT * FROM hits) GROUP BY ALL")
+def diagonal_groups(spark, sf_dir):
+    own = kmers.diagonals(_hits(spark, sf_dir))
+    return own.withColumn("offsets", F.concat_ws(",", F.transform("offsets", lambda x: x.cast("string"))))
+
+
+CANDIDATES = f"{HITS}, cands AS (SELECT read_id, target_id % 50 AS gene, count(*) AS score FROM (SELECT DISTINCT * FROM hits) GROUP BY read_id, target_id, diag)"
+
+
+def _candidates(spark, sf_dir):
+    return kmers.diagonals(_hits(spark, sf_dir)).select("read_id", (F.col("target_id") % 50).alias("gene"), F.col("n_seeds").alias("score"))
+
+
+@query(
+    f"""WITH {CANDIDATES}, top AS (SELECT * FROM cands QUALIFY score = max(score) OVER (PARTITION BY read_id))
+    SELECT read_id, min(gene) AS gene, max(score) AS score, count(*) AS n_top FROM top GROUP BY read_id HAVING count(DISTINCT gene) = 1"""
+)
+def top_score_unique_gene(spark, sf_dir):
+    return kmers.top_unique(_candidates(spark, sf_dir))
+
+
+@query(f"WITH {CANDIDATES} SELECT read_id, gene, score FROM cands QUALIFY rank() OVER (PARTITION BY read_id ORDER BY score DESC) = 1")
+def top_score_ties(spark, sf_dir):
+    return kmers.top_ties(_candidates(spark, sf_dir))
+
+
+@query(
+    f"""WITH {HITS}, g AS (SELECT DISTINCT read_id, target_id, diag FROM hits),
+    j AS (SELECT g.*, i.seq AS q, substr(d.seq, diag + 1, len(i.seq)) AS r FROM g JOIN items i ON i.id = read_id JOIN docs d ON d.id = target_id WHERE diag >= 0 AND diag + len(i.seq) <= len(d.seq)),
+    x AS (SELECT *, list_sum(list_transform(range(1, len(q) + 1), lambda p: CASE WHEN substr(q, p, 1) = substr(r, p, 1) THEN 0 ELSE 1 END)) AS e FROM j)
+    SELECT read_id, target_id, diag, CAST(e AS BIGINT) AS errors, CAST(len(q) - 3 * e AS BIGINT) AS score, e < (len(q) * 55) // 1000 AS verified FROM x"""
+)
+def linear_score(spark, sf_dir):
+    """Letter-by-letter scores of whole reads on their diagonals, and the verification of genome anchors."""
+    groups = _hits(spark, sf_dir).select("read_id", "target_id", "diag").distinct()
+    items = _items(spark, sf_dir).select(F.col("id").alias("read_id"), F.col("seq").alias("q"))
+    docs = fixtures.sequences(spark, sf_dir, "documents", "doc_id").select(F.col("id").alias("target_id"), F.col("seq").alias("t"))
+    own = groups.join(items, "read_id").join(docs, "target_id").withColumn("r", F.substring("t", (F.col("diag") + 1).cast("int"), F.length("q")))
+    own = own.filter("diag >= 0 and diag + length(q) <= length(t)").withColumn("errors", genome.mismatches("q", "r"))
+    return own.select("read_id", "target_id", "diag", "errors", (F.length("q") - 3 * F.col("errors")).cast("long").alias("score"), (F.col("errors") < F.floor(F.length("q") * 55 / 1000)).alias("verified"))
+
+
+def _aligned(spark, sf_dir):
+    items = _items(spark, sf_dir).select(F.col("id").alias("read_id"), "seq")
+    docs = fixtures.sequences(spark, sf_dir, "documents", "doc_id").select(F.col("id").alias("tran_idx"), "seq")
+    return align.score_groups(kmers.diagonals(_hits(spark, sf_dir)), items, docs, K), items, docs
+
+
+@query()
+def banded_score(spark, sf_dir):
+    """The whole scoring cascade, with gaps where nothing else fits; held against brute force in the tests."""
+    return _aligned(spark, sf_dir)[0]
+
+
+@query()
+def genome_veto(spark, sf_dir):
+    """Reads judged against the other half of the documents as a genome."""
+    aligned, items, docs = _aligned(spark, sf_dir)
+    best = aligned.filter("tran_idx % 2 = 0").groupBy("read_id").agg(F.max("score").cast("long").alias("score")).join(items.select("read_id", F.length("seq").alias("length")), "read_id")
+    hits = genome.genome_hits(items, docs.filter("tran_idx % 2 = 1").select(F.col("tran_idx").alias("chr_idx"), "seq"), least=genome.SEED)
+    return genome.classify(items, best, hits, test_unaligned=True)
+
+
+@query("WITH p AS (SELECT unnest(range(0, 13)) * 8 + 20 AS n) SELECT n, (n * 55) // 1000 AS max_err, (n * 400) // 1000 AS partial, (n * 650) // 1000 AS accept FROM p")
+def score_limits(spark, sf_dir):
+    n = spark.range(13).select((F.col("id") * 8 + 20).alias("n"))
+    part = lambda m, name: F.floor(F.col("n") * m / 1000).alias(name)
+    return n.select("n", part(55, "max_err"), part(400, "partial"), part(650, "accept"))
+
+
+# --- cells and molecules -------------------------------------------------------------
+
+TRUE = "((l_suppkey % 40) * 2654435761) % 65536"
+MOL = f"""mol AS (SELECT DISTINCT l_partkey % 200 AS gene, (l_orderkey * 7919 + l_linenumber * 104729) % 4096 AS umi,
+  CASE WHEN l_orderkey % 13 = 0 THEN xor({TRUE}, (1 + (l_orderkey % 3)) << (2 * (l_orderkey % 8))) ELSE {TRUE} END AS bc FROM lineitem)"""
+SIZES = f"{MOL}, sizes AS (SELECT bc, count(*) AS n FROM mol GROUP BY bc)"
+NEAR = "near AS (SELECT d << (2 * p) AS x FROM (SELECT unnest([1, 2, 3]) AS d) CROSS JOIN (SELECT unnest(range(0, {n})) AS p))"
+WHITE = f"""{SIZES}, {NEAR.format(n=8)}, dom AS (SELECT DISTINCT s.bc, s.n FROM sizes s, near, sizes o WHERE o.bc = xor(s.bc, near.x) AND o.n >= s.n),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, bc) AS rank FROM sizes),
+  white AS (SELECT bc, n, rank FROM ranked WHERE rank < coalesce((SELECT min(rank) FROM ranked JOIN dom USING (bc)), 1 << 60) AND n >= (SELECT max(n) // 100 FROM sizes))"""
+FIXED = f"""{WHITE}, fixed AS (SELECT s.bc, min(w.bc) AS target FROM sizes s, near, white w WHERE w.bc = xor(s.bc, near.x) AND s.bc NOT IN (SELECT bc FROM white) GROUP BY s.bc HAVING count(*) = 1)"""
+MERGED = f"""{FIXED}, moved AS (SELECT bc, bc AS target FROM white UNION ALL SELECT bc, target FROM fixed), merged AS (SELECT DISTINCT target AS bc, umi, gene FROM mol JOIN moved USING (bc))"""
+DEDUP = f"""{MERGED}, near6 AS (SELECT x FROM near WHERE x < 4096), dedup AS (SELECT m.bc, m.umi, m.gene FROM merged m WHERE NOT EXISTS
+  (SELECT 1 FROM near6, merged o WHERE o.bc = m.bc AND o.gene = m.gene AND o.umi = xor(m.umi, near6.x) AND o.umi > m.umi))"""
+COUNTS = f"{DEDUP}, counts AS (SELECT gene, bc, count(*) AS cnt FROM dedup GROUP BY gene, bc)"
+
+
+def _molecules(spark, sf_dir):
+    return cells.distinct_molecules(fixtures.raw_molecules(spark, sf_dir))
+
+
+def _sizes(spark, sf_dir):
+    return cells.cell_sizes(_molecules(spark, sf_dir))
+
+
+def _parts(spark, sf_dir):
+    mol = _molecules(spark, sf_dir)
+    sizes = cells.cell_sizes(mol)
+    white = cells.whitelist(sizes, near_bc)
+    return mol, white, cells.corrections(sizes, white, near_bc)
+
+
+@query(f"WITH {MOL} SELECT bc, umi, gene FROM mol")
+def molecules_distinct(spark, sf_dir):
+    return _molecules(spark, sf_dir)
+
+
+@query(f"WITH {SIZES} SELECT bc, n FROM sizes")
+def molecules_per_barcode(spark, sf_dir):
+    return _sizes(spark, sf_dir)
+
+
+@query(f"WITH {SIZES} SELECT bc, n, row_number() OVER (ORDER BY n DESC, bc) AS rank FROM sizes")
+def barcode_rank(spark, sf_dir):
+    return cells.ranked(_sizes(spark, sf_dir))
+
+
+@query(f"WITH {WHITE} SELECT bc, n FROM dom")
+def barcode_dominated(spark, sf_dir):
+    return cells.dominated(_sizes(spark, sf_dir), near_bc)
+
+
+@query(f"WITH {WHITE} SELECT bc, n FROM white")
+def barcode_whitelist(spark, sf_dir):
+    return cells.whitelist(_sizes(spark, sf_dir), near_bc)
+
+
+@query(f"WITH {FIXED} SELECT bc, target FROM fixed")
+def barcode_correction(spark, sf_dir):
+    return _parts(spark, sf_dir)[2]
+
+
+@query(f"WITH {MERGED} SELECT bc, umi, gene FROM merged")
+def barcode_merge(spark, sf_dir):
+    return cells.merged(*_parts(spark, sf_dir))
+
+
+@query(f"WITH {DEDUP} SELECT bc, umi, gene FROM dedup")
+def umi_dedup(spark, sf_dir):
+    return quant.dedup_tags(cells.merged(*_parts(spark, sf_dir)), near_umi)
+
+
+@query(f"WITH {COUNTS} SELECT gene, bc, cnt FROM counts")
+def gene_cell_counts(spark, sf_dir):
+    return quant.quantify(_molecules(spark, sf_dir), near_bc, near_umi)[1]
+
+
+@query(
+    f"""WITH {COUNTS}, g AS (SELECT gene, row_number() OVER (ORDER BY gene) AS gene_row FROM (SELECT DISTINCT l_partkey % 200 AS gene FROM lineitem)),
+    c AS (SELECT bc, row_number() OVER (ORDER BY n DESC, bc) AS cell_col FROM white) SELECT gene_row, cell_col, cnt FROM counts JOIN g USING (gene) JOIN c USING (bc)"""
+)
+def sparse_matrix(spark, sf_dir):
+    white, counted = quant.quantify(_molecules(spark, sf_dir), near_bc, near_umi)
+    genes = fixtures.raw_molecules(spark, sf_dir).select("gene").distinct()
+    return quant.sparse_matrix(counted, white, genes)
+
+
+@query(f"WITH {SIZES} SELECT count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS n_molecules, CAST(sum(n) // count(*) AS BIGINT) AS mean_size FROM sizes")
+def barcode_stats(spark, sf_dir):
+    return cells.cell_statistics(_sizes(spark, sf_dir))
+
+
+@query(
+    """SELECT count(*) AS n_reads, count(*) FILTER (event_id % 7 % 4 = 1) AS n_exonic, count(*) FILTER (event_id % 7 % 4 = 0) AS n_unmapped,
+    count(*) FILTER (event_id % 7 % 4 = 2) AS n_intronic, count(*) FILTER (event_id % 7 % 4 = 3) AS n_intergenic FROM events"""
+)
+def read_class_stats(spark, sf_dir):
+    own = fixtures.table(spark, sf_dir, "events").select((F.col("event_id") % 7 % 4).alias("class"))
+    return quant.class_statistics(own)
+
+
+# --- the reference model -------------------------------------------------------------
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, last_value(CASE WHEN l_linenumber = 1 OR l_partkey % 3 = 0 THEN l_partkey END IGNORE NULLS)
+    OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gene_id FROM lineitem"""
+)
+def feature_inherit(spark, sf_dir):
+    own = fixtures.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when((F.col("l_linenumber") == 1) | (F.col("l_partkey") % 3 == 0), F.col("l_partkey")).alias("gene_id"))
+    return refmodel.inherit(own, "gene_id", "l_linenumber", "l_partkey", by=["l_orderkey"])
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS len, CAST(sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) - p_size AS BIGINT) AS \"offset\" FROM part")
+def prefix_offsets(spark, sf_dir):
+    own = fixtures.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("len"))
+    return refmodel.prefix_offsets(own, "p_partkey", "len")
+
+
+EXONS = "e AS (SELECT l_orderkey AS tran_idx, l_linenumber, l_partkey % 500 AS beg, l_partkey % 500 + CAST(floor(l_quantity) AS BIGINT) AS \"end\" FROM lineitem)"
+
+
+def _exons(spark, sf_dir):
+    beg = F.col("l_partkey") % 500
+    return fixtures.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tran_idx"), "l_linenumber", beg.alias("beg"), (beg + F.floor("l_quantity").cast("long")).alias("end"))
+
+
+@query(f"WITH {EXONS}, x AS (SELECT *, coalesce(\"end\" >= lead(beg) OVER (PARTITION BY tran_idx ORDER BY beg, \"end\"), false) AS o FROM e) SELECT tran_idx, count(*) FILTER (o) AS n_overlaps FROM x GROUP BY tran_idx")
+def exon_overlap_check(spark, sf_dir):
+    own = _exons(spark, sf_dir).withColumn("o", refmodel.overlap_next())
+    return own.groupBy("tran_idx").agg(F.count(F.when(F.col("o"), 1)).alias("n_overlaps"))
+
+
+@query(f"WITH {EXONS} SELECT tran_idx, CAST(sum(\"end\" - beg + 1) AS BIGINT) AS tran_len, string_agg(beg || '-' || \"end\", ',' ORDER BY beg, \"end\") AS exons FROM e GROUP BY tran_idx")
+def spliced_length(spark, sf_dir):
+    part = F.array_sort(F.collect_list(F.struct("beg", "end")))
+    own = _exons(spark, sf_dir).groupBy("tran_idx").agg(F.sum(F.expr("end - beg + 1")).alias("tran_len"), part.alias("p"))
+    return own.select("tran_idx", "tran_len", F.concat_ws(",", F.transform("p", lambda x: F.concat_ws("-", x["beg"], x["end"]))).alias("exons"))
+
+
+@query("SELECT p_brand, p_type, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) = 1")
+def dictionary_first_wins(spark, sf_dir):
+    return refmodel.first_wins(fixtures.table(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey"), ["p_brand", "p_type"], "p_partkey")
+
+
+@query("SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('click', 'purchase') AND user_id IN (SELECT c_custkey FROM customer)")
+def feature_filter(spark, sf_dir):
+    own = fixtures.table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "purchase")).select("event_id", "event_type", "user_id")
+    return own.join(fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")), "user_id", "left_semi").select("event_id", "event_type", "user_id")
+
+
+IVS = "ev AS (SELECT event_id, user_id % 2 AS strand, epoch_us(ts) AS t FROM events), iv AS (SELECT event_id AS gid, strand, t AS s, t + 600000000 AS e FROM ev WHERE event_id % 50 = 0), q AS (SELECT event_id AS qid, strand, t AS qs, t + 60000000 AS qe FROM ev WHERE event_id % 50 <> 0)"
+
+
+@query(f"WITH {IVS} SELECT gid, qid, iv.strand AS strand FROM iv JOIN q ON iv.strand = q.strand AND qs >= s AND qe <= e")
+def interval_contains(spark, sf_dir):
+    return intervals.contains(*fixtures.interval_events(spark, sf_dir), ["strand"], 600_000_000).select("gid", "qid", "strand")
+
+
+@query(f"WITH {IVS} SELECT gid, qid, iv.strand AS strand FROM iv JOIN q ON iv.strand = q.strand AND qs <= e AND qe >= s")
+def interval_overlap(spark, sf_dir):
+    return intervals.overlaps(*fixtures.interval_events(spark, sf_dir), ["strand"], 600_000_000).select("gid", "qid", "strand")
+
+
+@query(
+    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS ordinal FROM conversations)
+    SELECT a.conv_id, a.ordinal, a.turn AS r1_turn, b.turn AS r2_turn, len(a.text) AS r1_len, len(b.text) AS r2_len FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.ordinal = b.ordinal WHERE a.role = 'user' AND b.role = 'assistant'"""
+)
+def zip_pairs(spark, sf_dir):
+    """Positional zip: the k-th user turn of a conversation with its k-th answer."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("long")
+    own = fixtures.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("len"), n.alias("ordinal"))
+    side = lambda role, p: own.filter(F.col("role") == role).select("conv_id", "ordinal", F.col("turn").alias(f"{p}_turn"), F.col("len").alias(f"{p}_len"))
+    return side("user", "r1").join(side("assistant", "r2"), ["conv_id", "ordinal"]).select("conv_id", "ordinal", "r1_turn", "r2_turn", "r1_len", "r2_len")
