@@ -206,75 +206,71 @@ def assign(lengths: np.ndarray, plan: list, share: float = 1.0, window: int = WI
     made = len(full)
     rest = np.flatnonzero(lengths < window)
     grain = max(1, min(grain, window // 8))
-    bins = window // grain
-    binned = -(-lengths // grain)
-    queues: dict[int, list] = {}
+    held = _ByAmount(window)
     for k in rest[np.argsort(-lengths[rest], kind="stable")][::-1].tolist():
-        queues.setdefault(min(int(binned[k]), bins), []).append(k)
-    free: list[tuple[int, int]] = []  # (room, sequence)
+        held.put(int(lengths[k]), k)
+    rooms = _ByAmount(window)
     for own, repeats in plan:
         for _ in range(int(repeats * share + 1e-6)):
-            took = [queues[s].pop() for s in own if queues.get(s)]
-            if not took:
+            room, took = window, []
+            for j, size in enumerate(own):
+                # The longest of the bin; the last one may be longer, where bins were rounded up.
+                most = size * grain if j + 1 < len(own) else room
+                length = held.greatest(most)
+                if length <= (size - 1) * grain:
+                    break
+                took.append(held.take(length))
+                room -= length
+            if len(took) < len(own):  # a bin is used up: the rest is packed greedily
+                for k in took:
+                    held.put(int(lengths[k]), k)
                 break
             at = 0
             for k in took:
                 sequence[k], offset[k] = made, at
                 at += int(lengths[k])
-            if at < window:
-                free.append((window - at, made))
+            rooms.put(room, made)
             made += 1
     # What is left: longest first, each into the sequence with the least room that takes it.
-    left = sorted((k for q in queues.values() for k in q), key=lambda k: -lengths[k])
-    by_room: list[list[int]] = [[] for _ in range(window + 1)]
-    for room, s in reversed(free):
-        by_room[room].append(s)
-    tree = _Rooms(window, by_room)
-    for k in left:
-        need = int(lengths[k])
-        room = tree.least(need)
+    while (length := held.greatest(window)) > 0:
+        k = held.take(length)
+        room = rooms.least(length)
         if room:
-            s = by_room[room].pop()
-            tree.set(room, bool(by_room[room]))
+            s = rooms.take(room)
         else:
             room, s = window, made
             made += 1
         sequence[k], offset[k] = s, window - room
-        if room > need:
-            by_room[room - need].append(s)
-            tree.set(room - need, True)
+        rooms.put(room - length, s)
     return sequence, offset
 
 
-class _Rooms:
-    """Which amounts of room exist; least(n) is the smallest of at least n, or 0."""
+class _ByAmount:
+    """Things by a positive amount of up to ``most``; the last one put in is taken first."""
+
+    def __init__(self, most: int):
+        self.held: list[list[int]] = [[] for _ in range(most + 1)]
+        self.some = 0  # bit n: there are things of amount n
+
+    def put(self, amount: int, thing: int) -> None:
+        if amount:
+            self.held[amount].append(thing)
+            self.some |= 1 << amount
 
-    def __init__(self, window: int, by_room: list):
-        self.size = 1 << (window + 1).bit_length()
-        self.tree = [False] * (2 * self.size)
-        for room, own in enumerate(by_room):
-            if own:
-                self.set(room, True)
+    def take(self, amount: int) -> int:
+        thing = self.held[amount].pop()
+        if not self.held[amount]:
+            self.some ^= 1 << amount
+        return thing
 
-    def set(self, room: int, on: bool) -> None:
-        k = room + self.size
-        self.tree[k] = on
-        while k > 1:
-            k //= 2
-            self.tree[k] = self.tree[2 * k] or self.tree[2 * k + 1]
+    def greatest(self, most: int) -> int:
+        """The greatest amount of at most ``most``, or 0."""
+        return max(0, (self.some & ((1 << (most + 1)) - 1)).bit_length() - 1)
 
     def least(self, need: int) -> int:
-        k = need + self.size
-        if self.tree[k]:
-            return need
-        while k > 1:
-            if k % 2 == 0 and self.tree[k + 1]:
-                k += 1
-                while k < self.size:
-                    k = 2 * k if self.tree[2 * k] else 2 * k + 1
-                return k - self.size
-            k //= 2
-        return 0
+        """The least amount of at least ``need``, or 0."""
+        rest = self.some >> need
+        return need + (rest & -rest).bit_length() - 1 if rest else 0
 
 
 def pack(found: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:

@@ -18,6 +18,7 @@ has the key can go back.
 
 Numbers of 13 to 19 digits that fail the check are treated as plain account numbers
 (digits permuted): better one number too many than a mistyped card left in place.
+Only ASCII digits count as digits.
 
 Defined results: a null text stays null, an empty one empty; texts without a span are
 returned as they came; spans do not overlap (the leftmost, then the first kind listed
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -69,9 +71,7 @@ class Feistel:
         """The image of x, or with ``back`` what has the image x."""
         if n < 2:
             return x
-        b = 1
-        while b * b < n:
-            b += 1 if n < 10_000 else max(1, b // 64)
+        b = math.isqrt(n - 1) + 1
         a = -(-n // b)
         tag = f"{tweak}/{n}".encode()
         x = self._once(x, a, b, tag, back)
@@ -106,27 +106,30 @@ def luhn_digit(payload: str) -> str:
 def _refill(text: str, digits: str) -> str:
     """``text`` with its digits replaced one by one."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in text)
+    return "".join(next(it) if c in DIGITS else c for c in text)
 
 
 def _card(f: Feistel, text: str, back: bool) -> str:
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub("[^0-9]", "", text)
     if luhn_digit(digits[:-1]) != digits[-1]:
-        return _number(f, text, back)
+        return _account(f, text, back)
     payload = f.string(digits[:-1], "card", back)
     return _refill(text, payload + luhn_digit(payload))
 
 
-def _number(f: Feistel, text: str, back: bool) -> str:
+def _account(f: Feistel, text: str, back: bool) -> str:
     """Digits permuted among those of the same length that are not valid cards, so that the two kinds never meet."""
-    digits = re.sub(r"\D", "", text)
-    long_ = 13 <= len(digits) <= 19
+    digits = re.sub("[^0-9]", "", text)
     while True:
-        digits = f.string(digits, "number", back)
-        if not long_ or luhn_digit(digits[:-1]) != digits[-1]:
+        digits = f.string(digits, "account", back)
+        if luhn_digit(digits[:-1]) != digits[-1]:
             return _refill(text, digits)
 
 
+def _number(f: Feistel, text: str, back: bool) -> str:
+    return _refill(text, f.string(re.sub("[^0-9]", "", text), "number", back))
+
+
 def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
@@ -185,26 +188,45 @@ def _secret(f: Feistel, text: str, back: bool) -> str:
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 #: Kinds in the order of precedence: (name, pattern, replacement).
 KINDS: list[tuple[str, str, Callable]] = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)", _iban),
-    ("date", r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\w/-])", _date),
-    ("ip", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)", _ip),
-    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _number),
-    ("card", r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)", _card),
-    ("secret", r"(?<!\w)(?=\w*\d)(?=\w*[A-Za-z])(?:[0-9a-f]{24,128}|[0-9A-F]{24,128}|(?:sk|pk|ghp|gho|AKIA|xox[bp])[\w-]{12,100})(?!\w)", _secret),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w.-]?\d)", _number),
+    ("email", r"(?<![\w.%+-])[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?!\w)", _iban),
+    ("date", r"(?<![\w./-])(?:(?:19|20)[0-9][0-9]-[0-9][0-9]-[0-9][0-9]|(?:19|20)[0-9][0-9]/[0-9][0-9]/[0-9][0-9]|[0-9][0-9]/[0-9][0-9]/(?:19|20)[0-9][0-9]|[0-9][0-9]\.[0-9][0-9]\.(?:19|20)[0-9][0-9])(?![\w/-])", _date),
+    ("ip", r"(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\w]|\.[0-9])", _ip),
+    ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _number),
+    ("card", r"(?<![\w+])[0-9](?:[ -]?[0-9]){12,18}(?!\w)", _card),
+    ("secret", r"(?<!\w)(?=\w*[0-9])(?=\w*[A-Za-z])(?:[0-9a-f]{24,128}|[0-9A-F]{24,128}|(?:sk|pk|ghp|gho|AKIA|xox[bp])[\w-]{12,100})(?!\w)", _secret),
+    ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{2,4}\)[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\w|[.-][0-9])|(?<![\w.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w.-]?[0-9])", _number),
 ]
-#: One pass finds all kinds.  A span holds a digit or an @; nothing else is looked at.
+#: One pass finds all kinds, in the neighbourhood of digits and @ signs: nothing else holds a span.
 PATTERN = re.compile("|".join(f"(?P<{name}>{p})" for name, p, _ in KINDS))
-NEAR = re.compile(r"[^\n]*[\d@][^\n]*")
+HINT, BLANK = re.compile("[0-9@]+"), re.compile(r"\s|$")
+#: No span has a stretch of so many characters without a hint, or goes on for so long after its last one (but for the rest of its token).
+STRETCH = 40
 ACTIONS = {name: action for name, _, action in KINDS}
 
 
+def regions(text: str):
+    """(start, end) of the parts of a text that may hold spans, at white space; every character is looked at a bounded number of times."""
+    low = 0
+    hint = HINT.search(text)
+    while hint:
+        start = max(low, max(text.rfind(c, low, hint.start()) for c in " \n\t") + 1)
+        end = hint.end()
+        while hint:
+            while (hint := HINT.search(text, end, end + STRETCH)) is not None:
+                end = hint.end()
+            low = BLANK.search(text, min(len(text), end + STRETCH)).start()
+            hint = HINT.search(text, end, low)
+            end = low
+        yield start, low
+        hint = HINT.search(text, low)
+
+
 def pseudonymise(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each span in the original."""
     out, spans, at = [], [], 0
-    for line in NEAR.finditer(text):
-        for m in PATTERN.finditer(text, line.start(), line.end()):
+    for start, end in regions(text):
+        for m in PATTERN.finditer(text, start, end):
             new = ACTIONS[m.lastgroup](feistel, m[0], back)
             if new is None:
                 continue

@@ -74,3 +74,16 @@ def test_documents(spark):
     spans = pii.pseudonyms(docs, carry=["doc_id"]).collect()
     assert {tuple(map(tuple, r.pii_spans)) for r in spans if r.doc_id == 1} == {(("email", 9, 33),)}
     assert pii.pseudonymous_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@given(st.lists(st.sampled_from(["a", "é", " ", "\n", "1", "23", "4111111111111111", "@", "x.org", "+1 (499) 555-6503", ".", "-", "(", "DE89 3704 0044 0532 0130 00", "٣", "w" * 50, "2020-01-02"]), max_size=40).map("".join))
+@settings(deadline=None, max_examples=300)
+def test_neighbourhoods_find_what_a_scan_of_the_whole_text_finds(text):
+    whole = [(m.lastgroup, m.start(), m.end()) for m in pii.PATTERN.finditer(text)]
+    whole = [s for s in whole if pii.ACTIONS[s[0]](F, text[s[1] : s[2]], False) is not None]
+    assert pii.pseudonymise(text, F)[1] == whole
+
+
+@pytest.mark.parametrize("part", ["a", "1", "@", "1 ", "a1", "a.", "1a@", "a%", "(12)", "1-"])
+def test_long_texts_take_linear_time(part):
+    assert len(pii.pseudonymise(part * 100_000 + "é", F)[0]) >= 100_000
