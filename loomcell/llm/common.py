@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch.  Texts of 100 kB make a batch of about 100 MB at worst.
-BATCH_ROWS = 1024
+#: Rows and bytes per Arrow batch, whichever is reached first; a single row may be larger.
+BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,7 @@ def session(df: DataFrame) -> SparkSession:
     """The session of a DataFrame, with small Arrow batches."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -12,7 +12,8 @@ the node of the highest bound first; a query takes no part in a node once its bo
 there is below its k-th score.  Every query first searches the tree that holds it,
 and the k-th score found there is its threshold in all others.  Results are exact.
 
-Queries are a stated set (here ids divisible by 20) and meet the trees in blocks.
+Queries are a stated set (here ids divisible by 20) and meet the trees in blocks: a
+task holds a few trees, and every block is sent to each task, pruned there.
 
 Defined results: null vectors and those with null or non-finite components take no
 part, nor do null ids; vectors of another length are not compared; a repeated id counts
@@ -35,7 +36,8 @@ from loomcell.llm.common import materialise, session, table
 
 K = 20
 PIVOTS = 64  # a bounded sample: vectors whose ids hash lowest
-GROUP = 4096  # vectors in a tree, on average
+GROUP = 1 << 18  # components of all vectors in a tree, on average
+TREES = 4  # trees of a task, on average
 PAGE = 64  # entries of a node
 BLOCK = 1024  # queries of a block
 SLACK = 1e-6
@@ -193,7 +195,7 @@ def forest(vectors: DataFrame, every: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest)], ["vec_id", "v", "dim", "pivot"])
 
     routed = materialise(dims.mapInArrow(route, "vec_id long, v array<long>, dim int, pivot int"), "routed")
-    sizes = routed.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("groups"))
+    sizes = routed.groupBy("dim", "pivot").agg(F.ceil(F.count("*") * F.greatest("dim", F.lit(1)) / F.lit(GROUP)).alias("groups"))
     grouped = routed.join(F.broadcast(sizes), ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "groups"))
 
     def build(key, held):
@@ -226,11 +228,10 @@ def top_k(rows: DataFrame, every: int = 20, k: int = K, vec_id: str = "vec_id",
 
         def out(dim):
             parts = held.pop(dim)
-            ids, vectors, floors, home = (np.concatenate([p[j] for p in parts]) for j in range(4))
+            ids, vectors, floors = (np.concatenate([p[j] for p in parts]) for j in range(3))
             for a in range(0, len(ids), BLOCK):
-                part = slice(a, a + BLOCK)
-                blobs = (ids[part], vectors[part], floors[part], home[part])
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["dim", "q_ids", "q_vectors", "q_floors", "q_home"])
+                blobs = (x[a : a + BLOCK] for x in (ids, vectors, floors))
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["dim", "ids", "vectors", "floors"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -238,27 +239,33 @@ def top_k(rows: DataFrame, every: int = 20, k: int = K, vec_id: str = "vec_id",
                 at = np.frombuffer(row["queries"], np.int64)
                 if len(at):
                     own = held.setdefault(row["dim"], [])
-                    own.append((ids[at], vectors[at], np.frombuffer(row["floors"], np.float64), np.full(len(at), row["tree"])))
+                    own.append((ids[at], vectors[at], np.frombuffer(row["floors"], np.float64)))
                     if sum(len(p[0]) for p in own) >= BLOCK:
                         yield from out(row["dim"])
         for dim in list(held):
             yield from out(dim)
 
-    asked = materialise(trees.mapInArrow(blocks, "dim int, q_ids binary, q_vectors binary, q_floors binary, q_home binary"), "queries")
-    # Each block meets each tree of its dimension: an equi-join of few, large rows.
-    met = trees.select("dim", "tree", "ids", "vectors").join(asked, "dim")
+    asked = trees.mapInArrow(blocks, "dim int, ids binary, vectors binary, floors binary")
+    # A few trees to each task, and every block of queries to all of them.
+    parts = max(1, -(-trees.count() // TREES))
+    part = F.pmod(F.xxhash64("tree"), F.lit(parts)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    columns = ["dim", "ids", "vectors", "floors"]
+    met = trees.select(part.alias("part"), F.lit(0).alias("kind"), *columns).union(materialise(asked, "queries").select(each.alias("part"), F.lit(1).alias("kind"), *columns))
+    met = met.repartitionById(parts, "part").sortWithinPartitions("kind")
 
     def search(batches):
-        tree, last = None, None
+        held: dict[int, list[MTree]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                if row["tree"] != last:
-                    tree, last = MTree(*_load(row)), row["tree"]
-                qid = np.frombuffer(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q_vectors"], np.int32).reshape(len(qid), row["dim"])
-                score, ident = tree.search(qid, q, np.frombuffer(row["q_floors"], np.float64), k)
-                who, rank = np.nonzero(np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[who]), pa.array(ident[who, rank]), pa.array(score[who, rank].astype(np.int64))], ["query_id", "vec_id", "score"])
+                ids, vectors = _load(row)
+                if row["kind"] == 0:
+                    held.setdefault(row["dim"], []).append(MTree(ids, vectors))
+                    continue
+                for tree in held.get(row["dim"], ()):
+                    score, ident = tree.search(ids, vectors, np.frombuffer(row["floors"], np.float64), k)
+                    who, rank = np.nonzero(np.isfinite(score))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(ident[who, rank]), pa.array(score[who, rank].astype(np.int64))], ["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -50,7 +50,7 @@ def test_search_skips_pages_of_clustered_vectors():
     assert sum(seen) < 10 * 4000 / 3
 
 
-@pytest.mark.parametrize("group", [4096, 32])
+@pytest.mark.parametrize("group", [1 << 18, 256])
 def test_whole_search(spark, monkeypatch, group):
     monkeypatch.setattr(mtree, "GROUP", group)
     monkeypatch.setattr(mtree, "BLOCK", 8)
