@@ -8,7 +8,7 @@ margin is the mean weight.  Decoding adds up the logistic loss of every bit agai
 each codeword and takes the least; if the runner-up is close, the text is ambiguous.
 
 Up to ``EXHAUSTIVE`` languages have exhaustive codes, more have random ones of a fixed seed.
-Training reads whole texts of at most ``train_docs`` documents of each language,
+Training reads whole texts of at most ``train_docs`` document ids of each language,
 those whose ids hash lowest (a documented bound; every text is then predicted).
 
 Defined results: a null text and one without letters is ``und`` with score 0 and not
@@ -124,8 +124,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, doc_id: str = "doc_id", t
     session(docs)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     ids = own.filter("lang is not null and text is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = ids.withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("lang", "doc_id").distinct()
+    # Twice the wanted share of each language by hash, counted first, so that no task ranks a whole language.
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.pmod("h", F.lit(1 << 30)) * F.col("n") < F.lit(train_docs * (2 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id"))
+    near = ids.join(F.broadcast(sizes), "lang").filter(share).distinct()
+    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("lang", "doc_id")
     sample = own.join(F.broadcast(chosen), ["lang", "doc_id"]).filter("text is not null").select("lang", "text")
 
     def count(batches):
