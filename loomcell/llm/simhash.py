@@ -44,25 +44,32 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CAP = 1024
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The SimHash of a whole text, as an unsigned integer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a whole text, repeats included; one of the whole sequence if it has fewer words, none without words."""
     words = (text or "").encode().translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, 42)]
-    else:
-        stops = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *stops]
-        hashes = [digest(joined[a : b - 1], 42) for a, b in zip(starts, stops[shingle - 1 :], strict=False)]
-    h = np.array(hashes, ">u8")
+        return np.array([digest(joined, 42)], np.uint64)
+    stops = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *stops]
+    return np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts, stops[shingle - 1 :], strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Whether each of the 64 bits, highest first, is set in over half the hashes."""
     counts = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 16):
-        part = h[k : k + (1 << 16)]
+    for k in range(0, len(hashes), 1 << 16):
+        part = hashes[k : k + (1 << 16)].astype(">u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
+    return 2 * counts > len(hashes)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The SimHash of a whole text, as an unsigned integer."""
+    return int.from_bytes(np.packbits(majority(shingle_hashes(text, shingle))).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, keep: list, text: str = "text", shingle: int = 4) -> DataFrame:
@@ -110,16 +117,20 @@ def _spread(lo1, hi1, lo2, hi2, most: int):
         start = stop
 
 
-def trie_join(fps: np.ndarray, label: np.ndarray, root: int, budget: int, leaf: int = 16, most: int = 1 << 18) -> None:
+def trie_join(
+    fps: np.ndarray, label: np.ndarray, root: int, budget: int, leaf: int = 16, most: int = 1 << 18, whole: np.ndarray | None = None, whole_budget: int = 0
+) -> None:
     """Unite in ``label`` all pairs within ``budget`` bits that agree in their first ``root`` bits.
 
     ``fps`` is sorted (unsigned); ``label`` starts as the components already known,
-    as indexes of smallest members.
+    as indexes of smallest members.  With ``whole``, the rows of words of wider
+    fingerprints of which ``fps`` are a part, a pair must be within ``whole_budget``
+    bits there too.
     """
     n = len(fps)
     if n < 2:
         return
-    for limit in dict.fromkeys((min(1, budget), budget)):  # near ones first: they make large nodes pure
+    for limit, far in dict.fromkeys(((min(1, budget), whole_budget // 4), (budget, whole_budget))):  # near ones first: they make large nodes pure
         heads = np.flatnonzero(np.r_[True, (fps[1:] >> np.uint64(64 - root)) != (fps[:-1] >> np.uint64(64 - root))]) if root else np.array([0])
         tails = np.r_[heads[1:], n]
         stack = [(heads, tails, heads, tails, np.zeros(len(heads), np.int64), root)]
@@ -139,7 +150,11 @@ def trie_join(fps: np.ndarray, label: np.ndarray, root: int, budget: int, leaf:
             small = ((hi1 - lo1) * (hi2 - lo2) <= leaf * leaf) | (depth >= 64)
             for i, j in _spread(lo1[small], hi1[small], lo2[small], hi2[small], most):
                 near = (np.bitwise_count(fps[i] ^ fps[j]) <= limit) & (i != j)
-                _unite(label, i[near], j[near])
+                i, j = i[near], j[near]
+                if whole is not None:
+                    near = np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1, dtype=np.int64) <= far
+                    i, j = i[near], j[near]
+                _unite(label, i, j)
             lo1, hi1, lo2, hi2, err = (x[~small] for x in (lo1, hi1, lo2, hi2, err))
             if not len(lo1):
                 continue
@@ -259,6 +274,17 @@ def _dense_links(dealt: DataFrame, heavy: DataFrame, choices: list, budget: int)
     )
     near = masked.groupBy("bit", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("a", "b")
     near = materialise(near, "near")
+
+    def join_pair(key, held):
+        order, root = choices[key[0].as_py()]
+        fps = held.column("fp").to_numpy().view(np.uint64)
+        return pa.Table.from_batches([_edges(*_forest(fps, held.column("component").to_numpy(), order, root, budget))])
+
+    return near.union(_across(rows, near, join_pair, "a long, b long"))
+
+
+def _across(rows: DataFrame, near: DataFrame, join_pair, schema: str) -> DataFrame:
+    """What ``join_pair`` finds in each pair of chunks of a subtrie; ``near`` are links already known, chunks of one component are not compared."""
     known = connected_components(near)
     rows = materialise(
         rows.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "dense"
@@ -280,18 +306,12 @@ def _dense_links(dealt: DataFrame, heavy: DataFrame, choices: list, budget: int)
     )
     pairs = pairs.select("x.choice", "x.path", F.xxhash64("x.choice", "x.path", "x.id", "y.id").alias("pair"), F.explode(F.array_distinct(F.array("x.id", "y.id"))).alias("id"))
     sent = rows.withColumn("id", F.xxhash64("tag", "chunk")).join(materialise(pairs, "pairs"), ["choice", "path", "id"]).select("choice", "pair", "fp", "component")
-
-    def join_pair(key, held):
-        order, root = choices[key[0].as_py()]
-        fps = held.column("fp").to_numpy().view(np.uint64)
-        return pa.Table.from_batches([_edges(*_forest(fps, held.column("component").to_numpy(), order, root, budget))])
-
-    return near.union(sent.groupBy("choice", "pair").applyInArrow(join_pair, "a long, b long"))
+    return sent.groupBy("choice", "pair").applyInArrow(join_pair, schema)
 
 
-def classes(rows: DataFrame, budget: int = 4) -> DataFrame:
+def classes(rows: DataFrame, budget: int = 4, links_of=links) -> DataFrame:
     """(fp, component): every distinct fingerprint of ``rows`` with the smallest one reachable (unsigned order is not implied)."""
-    found = connected_components(links(rows, budget))
+    found = connected_components(links_of(rows, budget))
     return rows.select("fp").distinct().join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
@@ -305,17 +325,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(materialise(named, "named"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, budget: int = 4, fingerprints_of=fingerprints, links_of=links
+) -> DataFrame:
     """One row of each near-duplicate group: the smallest doc_id (null last), then the smallest row digest.
 
     Among fully equal rows any one stays; all columns are returned as they came.
     """
     keyed = docs.withColumn("_lc_key", row_key(docs))
-    rows = fingerprints(keyed, [F.col(doc_id), F.col("_lc_key")], text, shingle)
+    rows = fingerprints_of(keyed, [F.col(doc_id), F.col("_lc_key")], text, shingle)
     rows = materialise(rows.select(F.col("k0").alias("doc_id"), F.col("k1").alias("key"), "fp"), "simhash")
     each = rows.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
     best = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "n")
-    least = each.groupBy("fp").agg(F.min(best).alias("best")).join(classes(rows, budget), "fp")
+    least = each.groupBy("fp").agg(F.min(best).alias("best")).join(classes(rows, budget, links_of), "fp")
     kept = materialise(least.groupBy("component").agg(F.min("best").alias("best")).select("best.*"), "kept")
     kept = kept.select(F.col("doc_id").alias("_lc_id"), F.col("key").alias("_lc_kept"), "n")
 

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from loomcell.llm import packing, pii, simhash
+from loomcell.llm import packing, pii, widehash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,7 +31,7 @@ def test_pipeline_equals_a_plain_walk(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     clean = {d: t for d, t, *_ in rows if d < 300 or d == 300}
-    fps = {d: simhash.fingerprint(t, corpus_pipeline.SHINGLE) for d, t in clean.items()}
+    fps = {d: int.from_bytes(widehash.wide_fingerprint(t, corpus_pipeline.SHINGLE)) for d, t in clean.items()}
     group = {d: d for d in clean}
     changed = True
     while changed:
