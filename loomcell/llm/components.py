@@ -2,8 +2,8 @@
 
 Every round is a pair of aggregations and joins on edges, written to the shared
 folder; no vertex's neighbours are ever gathered in one task: minima are
-pre-aggregated where the edges lie, and the joins carry no order or grouping, so
-adaptive execution may split a hub that holds a third of all edges.
+pre-aggregated where the edges lie and written too, so that a join has nothing but
+exchanges under it and adaptive execution may split a hub that holds a third of all edges.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a vertex to the smallest vertex in reach."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.filter("b > a").join(materialise(least, "least"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link each smaller neighbour of a vertex, and the vertex, to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     state = None
     while True:
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        edges = materialise(_small_star(materialise(_large_star(edges), "edges")), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
