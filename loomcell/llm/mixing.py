@@ -144,7 +144,7 @@ def interleave(docs: DataFrame, weights: Mapping = WEIGHTS, block: int = BLOCK,
     return out.drop("_lc_rank", "_lc_k", "_lc_s", "_lc_low", "_lc_high", "_lc_start", "_lc_period", "_lc_slots"), total
 
 
-def in_mix_order(docs: DataFrame, rows_per_file: int = 20_000, **options) -> DataFrame:
+def in_mix_order(docs: DataFrame, rows_per_file: int = 8_000, **options) -> DataFrame:
     """The rows with their own columns, in mix order: partition by partition, and sorted within each."""
     placed, total = interleave(docs, **options)
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // rows_per_file))
