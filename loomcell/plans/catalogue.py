@@ -312,12 +312,13 @@ def read_class_stats(spark, sf_dir):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, l_partkey, last_value(CASE WHEN l_linenumber = 1 OR l_partkey % 3 = 0 THEN l_partkey END IGNORE NULLS)
-    OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gene_id FROM lineitem"""
+    """SELECT l_orderkey, l_linenumber, l_partkey, coalesce(last_value(CASE WHEN l_linenumber = 1 OR l_partkey % 3 = 0 THEN l_partkey END IGNORE NULLS)
+    OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS gene_id FROM lineitem"""
 )
 def feature_inherit(spark, sf_dir):
+    """The last gene declared before each row of an order; -1 if there is none yet."""
     own = fixtures.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when((F.col("l_linenumber") == 1) | (F.col("l_partkey") % 3 == 0), F.col("l_partkey")).alias("gene_id"))
-    return refmodel.inherit(own, "gene_id", "l_linenumber", "l_partkey", by=["l_orderkey"])
+    return refmodel.inherit(own, "gene_id", "l_linenumber", "l_partkey", by=["l_orderkey"]).fillna(-1, ["gene_id"])
 
 
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) AS len, CAST(sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) - p_size AS BIGINT) AS \"offset\" FROM part")
