@@ -1,5 +1,8 @@
 """Substring dedup by hashing of lines, sentences or paragraphs.
 
+Units of over ``LONG`` words are cut, and neighbouring ones of too few words for a digest of
+their own are put together, at words whose hash says so: where a passage is cut depends
+on the passage, not on what stands before it.
 Units are normalised (case, white space and the marks at their ends do not count) and hashed
 to 128 bits; digests are grouped over all documents; the occurrence of least rank
 (document id, then offset) is kept and the others are duplicates.  Short units are
@@ -19,6 +22,7 @@ units of fewer than ``unit_words`` words are not hashed; an empty table gives no
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,12 @@ from loomcell.llm.common import materialise, session, table, texts
 
 #: Ends of units; what follows the match begins the next one.
 BOUNDARY = {"line": re.compile(r"\n+"), "paragraph": re.compile(r"\n\s*\n"), "sentence": re.compile(r"\n+|(?<=[.!?])\s+")}
+WORD = re.compile(r"\S+")
 UNIT_WORDS, MIN_WORDS = 3, 20
+#: Words of a unit beyond which it is cut, after one word in CUT; short units are put together up to one that ends on one word in JOIN.
+LONG, CUT, JOIN = 24, 8, 4
+#: Short units are put together up to so many words.
+JOINED = 12
 
 
 def units(text: str, unit: str) -> list[tuple[int, int]]:
@@ -48,6 +57,55 @@ def normal(text: str) -> list[str]:
     return text.lower().strip(" \t\r\n.,;:!?\"'()*#|-").split()
 
 
+def _marks(word: str, one_in: int) -> bool:
+    return zlib.crc32(word.encode()) % one_in == 0
+
+
+def cut_units(text: str, start: int, end: int, unit_words: int) -> list[tuple[int, int]]:
+    """A long unit in parts of ``unit_words`` words or more, each ending on a word whose hash says so; the last one as it comes."""
+    out, begin, n, last = [], None, 0, start
+    for m in WORD.finditer(text, start, end):
+        begin = m.start() if begin is None else begin
+        n, last = n + 1, m.end()
+        if n >= unit_words and _marks(m[0].lower(), CUT):
+            out.append((begin, last))
+            begin, n = None, 0
+    if begin is not None:
+        out.append((begin, last))
+    return out
+
+
+def hashed_units(text: str, unit: str, unit_words: int) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the units of a text that get a digest."""
+    out: list[tuple[int, int, list[str]]] = []
+    short: list[tuple[int, int, list[str]]] = []
+    held = 0
+
+    def flush():
+        nonlocal held
+        if held >= unit_words:
+            out.append((short[0][0], short[-1][1], [w for _, _, own in short for w in own]))
+        short.clear()
+        held = 0
+
+    for a, b in units(text, unit):
+        words = normal(text[a:b])
+        if len(words) >= unit_words:
+            flush()
+            if len(words) <= LONG:
+                out.append((a, b, words))
+            else:
+                parts = ((x, y, normal(text[x:y])) for x, y in cut_units(text, a, b, unit_words))
+                out += [p for p in parts if len(p[2]) >= unit_words]
+        elif words:
+            short.append((a, b, words))
+            held += len(words)
+            if held >= unit_words and (held >= JOINED or _marks(words[-1], JOIN)):
+                flush()
+    flush()
+    return out
+
+
 def digests(docs: DataFrame, unit: str, unit_words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, doc, hi, lo, no, words, start, end) of every hashed unit; no counts a document's hashed units, doc is its text's digest."""
     session(docs)
@@ -59,14 +117,10 @@ def digests(docs: DataFrame, unit: str, unit_words: int, doc_id: str = "doc_id",
             for k, t in enumerate(column):
                 if not t:
                     continue
-                no = 0
-                for a, b in units(t, unit):
-                    words = normal(t[a:b])
-                    if len(words) >= unit_words:
-                        marks.append(xxhash.xxh3_128_digest(" ".join(words)))
-                        rows.append((no, len(words), a, b))
-                        at.append(k)
-                        no += 1
+                for no, (a, b, words) in enumerate(hashed_units(t, unit, unit_words)):
+                    marks.append(xxhash.xxh3_128_digest(" ".join(words)))
+                    rows.append((no, len(words), a, b))
+                    at.append(k)
             pair = np.frombuffer(b"".join(marks), ">i8").reshape(-1, 2).astype(np.int64)
             flat = np.array(rows, np.int32).reshape(-1, 4)
             where = pa.array(at, pa.int64())

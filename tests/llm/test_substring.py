@@ -13,10 +13,7 @@ def plain(rows, unit, unit_words=substring.UNIT_WORDS, min_words=substring.MIN_W
     seen, out = {}, set()
     for d, t in docs:
         run = None
-        for a, b in substring.units(t, unit):
-            words = substring.normal(t[a:b])
-            if len(words) < unit_words:
-                continue
+        for a, b, words in substring.hashed_units(t, unit, unit_words):
             key = " ".join(words)
             if key in seen:
                 run = [run[0], b, run[2] + len(words), run[3]] if run else [a, b, len(words), seen[key]]
@@ -60,3 +57,25 @@ def test_cutting_keeps_the_rest_and_the_first_occurrence(spark):
     assert got == {1: rows[0][1], 2: "Ébène.  Rest.", 3: None, 4: rows[3][1]}
     assert substring.without_duplicates(docs).columns == docs.columns
     assert substring.duplicate_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["", ".", "!!", ","])
+@pytest.mark.parametrize("words", [51, 400])
+def test_a_passage_is_cut_alike_wherever_it_stands(mark, words):
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4)) + mark
+    passage = " ".join(word() for _ in range(words))
+    found = []
+    for n in (0, 1, 2, 7, 40):
+        head = " ".join(["Head", *(word() for _ in range(n))]) + " "
+        own = substring.hashed_units(head + passage + " " + word() + " end here. More of it.", "sentence", 3)
+        found.append({(a - len(head), b - len(head)) for a, b, _ in own if a >= len(head) and b <= len(head) + len(passage)})
+        assert all(len(w) >= 3 for _, _, w in own) and all(x[1] <= y[0] for x, y in zip(own, own[1:], strict=False))
+    common = set.intersection(*found)
+    assert sum(len(passage[a:b].split()) for a, b in common) >= min(20, words / 2), common
+    assert sum(len(passage[a:b].split()) for a, b in common) >= words - 45
+
+
+def test_short_units_alone_get_no_digest():
+    assert substring.hashed_units("Yes. No.", "sentence", 3) == []
+    assert [w for *_, w in substring.hashed_units("One two three. Yes. Four five six.", "sentence", 3)] == [["one", "two", "three"], ["four", "five", "six"]]
