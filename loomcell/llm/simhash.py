@@ -245,7 +245,8 @@ def links(fps: DataFrame, budget: int = 4) -> DataFrame:
     dealt = fps.mapInArrow(expand, "choice int, path long, fp long")
     sizes = materialise(dealt.groupBy("choice", "path").agg(F.count("*").alias("n")).filter("n > 1"), "subtries")
     heavy = sizes.filter(F.col("n") > CAP)
-    light = dealt.join(sizes.filter(F.col("n") <= CAP).select("choice", "path"), ["choice", "path"])
+    # Dealt anew: a broadcast of the sizes would leave each fingerprint in the partition of its file.
+    light = dealt.join(sizes.filter(F.col("n") <= CAP).select("choice", "path"), ["choice", "path"]).repartition("choice", "path")
 
     def join_light(batches):
         """A whole partition at once: each choice's rows make one sorted array of subtries."""

@@ -84,6 +84,20 @@ def test_classes_equal_all_pairs_also_when_subtries_are_cut(spark, monkeypatch,
     assert component_map(spark, fps) == {frozenset(g) for g in want.values()}
 
 
+def test_classes_equal_all_pairs_when_fingerprints_lie_in_several_files(spark):
+    fps = sorted({*clustered(random.Random(8), 400, 1), *clustered(random.Random(9), 10, 4)})  # few subtries, so that their sizes are what is broadcast
+    want = {}
+    for f, x in zip(fps, plain_components(fps), strict=True):
+        want.setdefault(x, set()).add(f)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = simhash.materialise(spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long").distinct(), "files")
+        assert rows.rdd.getNumPartitions() > 1
+        assert component_map(spark, fps) == {frozenset(g) for g in want.values()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
