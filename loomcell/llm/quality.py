@@ -7,8 +7,9 @@ are bounded in size (classes, and hash slots of words), so each task sends a
 fixed number of counters however much text it reads.
 
 Defined results: a null text counts as a text without words; a null language
-adds nothing to the references; without any reference (an empty table, or no
-language with ``min_reference_words`` words) only the base rules decide; repeated
+adds nothing to the references; a document whose language is null or has no reference
+(fewer than ``min_reference_words`` words in the table) is decided by the base rules only,
+its distances being those to the nearest language that has one; repeated
 rows are scored alike, one row each; extra columns are passed through by
 ``quality`` and clash with nothing but the columns that it adds.
 """
@@ -248,19 +249,21 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "
     carry = docs.columns if carry is None else carry
     names = [f"c{k}" for k in range(len(carry))]
     at = carry.index(text) if text in carry else len(carry)
-    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip([*carry, text], [*names, "text"], strict=True)][: max(at + 1, len(carry))])
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip([*carry, text], [*names, "text"], strict=True)][: max(at + 1, len(carry))]
+    own = docs.select(*own, F.col(f"`{lang}`").alias("lang"))
 
     def score(batches):
         scorer = Scorer(refs.value)
+        known = {r.lang for r in refs.value}
         for batch in batches:
             rows = []
-            for t in batch.column(at).to_pylist():
+            for t, lang_ in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 data = (t or "").encode()
                 bytes_ = histogram(data)
                 base = base_counts(data, bytes_)
                 failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
                 char, word, n_chars, n_words = scorer(data, bytes_)
-                rows.append((*base, failed, not failed and verdict(char, word, n_chars, n_words, rules), char, word))
+                rows.append((*base, failed, not failed and (lang_ not in known or verdict(char, word, n_chars, n_words, rules)), char, word))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             added = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], [*names, *[x.split()[0] for x in MEASURES.split(", ")]])

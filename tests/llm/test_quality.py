@@ -77,3 +77,13 @@ def test_kept_documents_and_empty(spark, scored):
     assert kept.columns == docs.columns and kept.count() == 62
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.quality(empty, carry=["doc_id"]).count() == 0 and quality.kept_documents(empty).count() == 0
+
+
+def test_languages_without_a_reference_are_decided_by_the_base_rules(spark):
+    rng = random.Random(6)
+    rare = " ".join("".join(rng.choice("qzxkw") for _ in range(6)) for _ in range(150))
+    rows = [(k, prose(rng, 150), "en", "", "") for k in range(60)]
+    rows += [(200, rare, "xx", "", ""), (201, rare, None, "", ""), (202, rare, "en", "", ""), (203, "spam egg ham " * 60, "xx", "", "")]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, SCHEMA), carry=["doc_id"]).collect()}
+    assert [got[k] for k in (200, 201, 202, 203)] == [True, True, False, False]
+    assert {r.doc_id for r in quality.kept_documents(spark.createDataFrame(rows, SCHEMA)).collect()} == {*range(60), 200, 201}
