@@ -8,11 +8,11 @@ has the key can go back.
 
 * card: 13 to 19 digits with a Luhn check digit, with or without separators -> the
   digits before the check digit are permuted, the check digit is made anew;
-* iban: mod-97 checked -> account characters permuted in their classes, check made anew;
+* iban: of its country's length and mod-97 checked -> account characters permuted in their classes, check made anew;
 * email: letters and digits of the local part permuted, the domain stays;
 * ip: dotted quad -> the 32 bits are permuted as one number;
 * phone and ssn: the digits are permuted, signs and spaces stay;
-* date (ISO, or day and month first with / or .): the day is permuted among all days
+* date (ISO, or day first with / or ., or month first where that is the only reading): the day is permuted among all days
   from 1900 to 2099;
 * secret: long hexadecimal or mixed tokens -> characters permuted in their classes.
 
@@ -143,6 +143,26 @@ def _iban(f: Feistel, text: str, back: bool) -> str | None:
     return "".join(c if c == " " else next(it) for c in text)
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FK,FO,FI,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+).split()) for c in cs.split(",")}
+
+
+def _iban_pattern() -> str:
+    """As many characters as the country has; for a country that is not in the table, as many as follow."""
+    exact = "|".join(f"(?:{'|'.join(c for c in IBAN_LENGTH if IBAN_LENGTH[c] == n)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n in sorted(set(IBAN_LENGTH.values())))
+    return rf"(?<!\w)(?=[A-Z]{{2}}[0-9]{{2}})(?:{exact}|(?!{'|'.join(IBAN_LENGTH)})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})(?!\w)"
+
+
+def _iban_ends(text: str) -> list[int]:
+    """Where an IBAN at the start of a match may end: at any word, longest first, if its country's length is not known."""
+    if text[:2] in IBAN_LENGTH:
+        return [len(text)]
+    return [m.end() for m in re.finditer(r"[A-Z0-9](?![A-Z0-9])", text)][::-1]
+
+
 def _email(f: Feistel, text: str, back: bool) -> str:
     local, _, domain = text.rpartition("@")
     return f"{f.string(local, 'email', back)}@{domain}"
@@ -164,6 +184,9 @@ def _date(f: Feistel, text: str, back: bool) -> str | None:
     parts = re.split(r"([-/.])", text)
     year_first = len(parts[0]) == 4
     y, m, d = (int(p) for p in (parts[::2] if year_first else parts[::-2]))
+    month_first = not year_first and d <= 12 < m
+    if month_first:
+        m, d = d, m
     try:
         day = datetime.date(y, m, d)
     except ValueError:
@@ -171,8 +194,12 @@ def _date(f: Feistel, text: str, back: bool) -> str | None:
     if not 0 <= (day - FIRST).days < DAYS:
         return None
     new = FIRST + datetime.timedelta(f.permute((day - FIRST).days, DAYS, "date", back))
+    while month_first and new.day <= 12:  # its pseudonym must not read as day first
+        new = FIRST + datetime.timedelta(f.permute((new - FIRST).days, DAYS, "date", back))
     out = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"]
-    if not year_first:
+    if month_first:
+        out = [out[1], out[2], out[0]]
+    elif not year_first:
         out.reverse()
     return parts[1].join(out)
 
@@ -189,7 +216,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 #: Kinds in the order of precedence: (name, pattern, replacement).
 KINDS: list[tuple[str, str, Callable]] = [
     ("email", r"(?<![\w.%+-])[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?!\w)", _iban),
+    ("iban", _iban_pattern(), _iban),
     ("date", r"(?<![\w./-])(?:(?:19|20)[0-9][0-9]-[0-9][0-9]-[0-9][0-9]|(?:19|20)[0-9][0-9]/[0-9][0-9]/[0-9][0-9]|[0-9][0-9]/[0-9][0-9]/(?:19|20)[0-9][0-9]|[0-9][0-9]\.[0-9][0-9]\.(?:19|20)[0-9][0-9])(?![\w/-])", _date),
     ("ip", r"(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\w]|\.[0-9])", _ip),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _number),
@@ -205,6 +232,23 @@ STRETCH = 40
 ACTIONS = {name: action for name, _, action in KINDS}
 
 
+SINGLE = {name: re.compile(p) for name, p, _ in KINDS}
+
+
+def replacement(text: str, m: re.Match, end: int, feistel: Feistel, back: bool) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the first kind, from that of the match on, that is valid at the start of a match."""
+    names = list(ACTIONS)
+    for name in names[names.index(m.lastgroup) :]:
+        own = m if name == m.lastgroup else SINGLE[name].match(text, m.start(), end)
+        if own is None:
+            continue
+        for size in _iban_ends(own[0]) if name == "iban" else (len(own[0]),):
+            new = ACTIONS[name](feistel, own[0][:size], back)
+            if new is not None:
+                return name, m.start() + size, new
+    return None
+
+
 def regions(text: str):
     """(start, end) of the parts of a text that may hold spans, at white space; every character is looked at a bounded number of times."""
     low = 0
@@ -226,13 +270,17 @@ def pseudonymise(text: str, feistel: Feistel, back: bool = False) -> tuple[str,
     """The text with pseudonyms, and (kind, start, end) of each span in the original."""
     out, spans, at = [], [], 0
     for start, end in regions(text):
-        for m in PATTERN.finditer(text, start, end):
-            new = ACTIONS[m.lastgroup](feistel, m[0], back)
-            if new is None:
+        m = PATTERN.search(text, start, end)
+        while m:
+            found = replacement(text, m, end, feistel, back)
+            if found is None:
+                m = PATTERN.search(text, m.start() + 1, end)
                 continue
+            kind, stop, new = found
             out += [text[at : m.start()], new]
-            at = m.end()
-            spans.append((m.lastgroup, m.start(), m.end()))
+            at = stop
+            spans.append((kind, m.start(), stop))
+            m = PATTERN.search(text, stop, end)
     return ("".join([*out, text[at:]]), spans) if spans else (text, spans)
 
 

@@ -87,3 +87,18 @@ def test_neighbourhoods_find_what_a_scan_of_the_whole_text_finds(text):
 @pytest.mark.parametrize("part", ["a", "1", "@", "1 ", "a1", "a.", "1a@", "a%", "(12)", "1-"])
 def test_long_texts_take_linear_time(part):
     assert len(pii.pseudonymise(part * 100_000 + "é", F)[0]) >= 100_000
+
+
+@pytest.mark.parametrize(
+    "text,kind,value",
+    [
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("DE89370400440532013000 EUR 50", "iban", "DE89370400440532013000"),
+        ("NO12 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+        ("on 12/31/2001.", "date", "12/31/2001"),
+    ],
+)
+def test_what_follows_or_fails_hides_no_value(text, kind, value):
+    new, spans = pii.pseudonymise(text, F)
+    assert [(k, text[a:b]) for k, a, b in spans] == [(kind, value)] and value not in new
+    assert pii.pseudonymise(new, F, back=True)[0] == text
