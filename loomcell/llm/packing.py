@@ -87,7 +87,13 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if self.fast is None or any(t in text for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        try:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # its pattern gives up on very long runs of white space
+            import regex
+
+            ids = np.array([k for m in regex.finditer(PATTERN, text) for k in self.fast._encode_single_piece(m[0])])
+        return ids.astype("<u4").tobytes()
 
 
 @lru_cache(2)

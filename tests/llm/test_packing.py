@@ -30,6 +30,12 @@ def test_special_strings_and_a_long_word():
         assert np.frombuffer(e(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000 + "x", "a b" + " \n" * 1_000_000 + "c d", "\t" * 1_200_000])
+def test_long_runs_of_white_space(text):
+    e = packing.encoder(packing.tokenizer_path())
+    assert np.array_equal(np.frombuffer(e(text), "<u4"), e.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def test_nnls_against_a_known_solution():
     a = np.array([[1, 0, 1], [0, 1, 1]], np.float32)
     x = packing.nnls(a, np.array([3.0, 2.0]))
