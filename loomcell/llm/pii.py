@@ -43,6 +43,8 @@ from loomcell.llm.common import session, table, texts
 #: Only for tests and the registered query; a real run passes its own.
 DEMO_KEY = b"loomcell-demonstration-key"
 ROUNDS = 8
+#: Characters that are permuted as one number, at most.
+BLOCK = 256
 DIGITS = "0123456789"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -80,10 +82,21 @@ class Feistel:
         return x
 
     def string(self, text: str, tweak: str, back: bool = False) -> str:
-        """Letters and digits permuted together, each within its class; other characters stay."""
+        """Letters and digits permuted together, each within its class; other characters stay.
+
+        Beyond ``BLOCK`` characters, block by block; what comes before a block goes into its key.
+        """
+        out, before = [], ""
+        for k in range(0, len(text), BLOCK):
+            part = text[k : k + BLOCK]
+            new = self._block(part, tweak + before, back)
+            out.append(new)
+            before = "/" + hashlib.blake2b((before + (new if back else part)).encode(), digest_size=16).hexdigest()
+        return "".join(out)
+
+    def _block(self, text: str, tweak: str, back: bool) -> str:
         classes = [next((s for s in (DIGITS, LOWER, UPPER) if c in s), None) for c in text]
-        n = value = 0
-        n = 1
+        value, n = 0, 1
         for c, s in zip(text, classes, strict=True):
             if s:
                 n *= len(s)
