@@ -11,14 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcell.llm.common import materialise
+from loomcell.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a vertex to the smallest vertex in reach."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-    return both.filter("b > a").join(materialise(least, "least"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = materialise(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), "least")
+    out = materialise(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "edges")
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +28,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    out = materialise(moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
+    discard(least)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,7 +42,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     state = None
     while True:
-        edges = materialise(_small_star(materialise(_large_star(edges), "edges")), "edges")
+        large = _large_star(edges)
+        discard(edges)
+        edges = _small_star(large)
+        discard(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -42,6 +42,8 @@ from loomcell.llm.components import connected_components
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints in one subtrie or chunk, at most.
 CAP = 1024
+#: Fingerprints of light subtries that a task holds at once, about.
+HELD = 1 << 17
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -228,6 +230,32 @@ def _edges(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def whole_subtries(batches, most: int = HELD):
+    """(choice, fingerprints) of whole subtries of one choice, about ``most`` rows at once, from batches in the order of (choice, path, ...)."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def ready(last: bool):
+        nonlocal held, rows
+        own = pa.Table.from_batches(held).combine_chunks()
+        choice, path = own.column(0).to_numpy(), own.column(1).to_numpy()
+        # A batch may end within a subtrie: its rows wait for the next one.
+        stop = len(own) if last else int(np.flatnonzero((choice == choice[-1]) & (path == path[-1]))[0])
+        held, rows = own.slice(stop).to_batches(), len(own) - stop
+        cuts = [0, *(np.flatnonzero(choice[1:stop] != choice[: stop - 1]) + 1).tolist(), stop] if stop else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield int(choice[a]), own.column(2).slice(a, b - a).combine_chunks()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                yield from ready(False)
+    if rows:
+        yield from ready(True)
+
+
 def links(fps: DataFrame, budget: int = 4) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints ``fp`` as all links of at most ``budget`` bits do."""
     session(fps)
@@ -249,18 +277,11 @@ def links(fps: DataFrame, budget: int = 4) -> DataFrame:
     light = dealt.join(sizes.filter(F.col("n") <= CAP).select("choice", "path"), ["choice", "path"]).repartition("choice", "path")
 
     def join_light(batches):
-        """A whole partition at once: each choice's rows make one sorted array of subtries."""
-        held: dict[int, list] = {}
-        for batch in batches:
-            c = batch.column(0).to_numpy()
-            own = batch.column(2).to_numpy().view(np.uint64)
-            for k in np.unique(c):
-                held.setdefault(int(k), []).append(own[c == k])
-        for k, parts in held.items():
+        for k, own in whole_subtries(batches):
             order, root = choices[k]
-            yield _edges(*_forest(np.concatenate(parts), None, order, root, budget))
+            yield _edges(*_forest(own.to_numpy().view(np.uint64), None, order, root, budget))
 
-    found = light.select("choice", "path", "fp").mapInArrow(join_light, "a long, b long")
+    found = light.select("choice", "path", "fp").sortWithinPartitions("choice", "path").mapInArrow(join_light, "a long, b long")
     if heavy.isEmpty():
         return found
     return materialise(found, "links").union(_dense_links(dealt, heavy, choices, budget))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -98,6 +99,36 @@ def test_classes_equal_all_pairs_when_fingerprints_lie_in_several_files(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_planted_pairs_across_many_partitions(spark, threshold):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(20_000)]
+    pairs = [(f, f ^ sum(1 << b for b in rng.sample(range(64), 1 + k % 4))) for k, f in enumerate(base[:400])]
+    signed = np.array([*base, *(b for _, b in pairs)], np.uint64).view(np.int64)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = spark.createDataFrame([(int(f),) for f in signed], "fp long").repartition(6)
+        got = {r.fp: r.component for r in simhash.classes(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    component = [got[int(f)] for f in signed]
+    assert component[:400] == component[20_000:] and len(set(component)) == 20_000
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3)), max_size=60), st.integers(1, 7), st.integers(1, 12))
+@settings(max_examples=100, deadline=None)
+def test_subtries_are_never_cut(keys, size, most):
+    keys = sorted(keys)
+    batch = pa.RecordBatch.from_arrays([pa.array([c for c, _ in keys], pa.int32()), pa.array([p for _, p in keys], pa.int64()), pa.array(range(len(keys)), pa.int64())], ["choice", "path", "fp"])
+    seen, place = [], {}
+    for no, (choice, own) in enumerate(simhash.whole_subtries((batch.slice(k, size) for k in range(0, len(keys), size)), most)):
+        for fp in own.to_pylist():
+            assert keys[fp][0] == choice and place.setdefault(keys[fp], no) == no
+            seen.append(fp)
+    assert seen == list(range(len(keys)))
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
