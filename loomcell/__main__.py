@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("-o", "--out", default=".")
     i.add_argument("-p", "--prefix", default="loomcell")
     i.add_argument("-k", type=int, default=29)
-    i.add_argument("--no-bwt", action="store_true", help="taken for compatibility: genome postings are made as they are needed")
+    i.add_argument("--no-bwt", action="store_true", help="taken for compatibility: the genome's postings are always made")
     c = sub.add_parser("count", help="count molecules of genes in cells")
     c.add_argument("-x", "--index", required=True)
     c.add_argument("-o", "--out", default=".")
@@ -49,12 +49,8 @@ def main(argv: list[str] | None = None) -> None:
         workflow.index(spark, a.genome, a.gtf, a.out, a.prefix, a.k)
     else:
         done = workflow.count(spark, a.index, a.r1, a.r2, a.out, a.prefix, a.library, a.k, a.dump_align, a.count_intron, a.introns)
-        found = done.statistics.first().asDict()
-        summary = ", ".join(f"{k} {v}" for k, v in found.items())
-        print(summary)
-        if a.log:
-            with open(a.log, "a", encoding="utf-8") as out:
-                out.write(summary + "\n")
+        found = workflow.log_summary(done, a.log) if a.log else done.statistics
+        print(", ".join(f"{k} {v}" for k, v in found.first().asDict().items()))
 
 
 if __name__ == "__main__":

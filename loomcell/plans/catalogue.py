@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomcell import storage
 from loomcell.functions import alphabet
 from loomcell.operators import align, cells, genome, intervals, kmers, quant, refmodel
-from loomcell.plans import fixtures
+from loomcell.plans import fixtures, workflow
+from loomcell.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,7 +111,7 @@ def _items(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    return kmers.seed_join(kmers.seeds(_items(spark, sf_dir), K, plain=True), _postings(spark, sf_dir))
+    return kmers.seed_join(kmers.coded(kmers.seeds(_items(spark, sf_dir), K, plain=True), K), kmers.coded(_postings(spark, sf_dir), K))
 
 
 @query(f"WITH {POSTINGS} SELECT id, pos, kmer FROM postings")
@@ -119,7 +121,7 @@ def kmer_postings(spark, sf_dir):
 
 @query(f"WITH {POSTINGS} SELECT count(DISTINCT kmer) AS n_kmers, count(*) AS n_positions FROM postings")
 def kmer_stats(spark, sf_dir):
-    return kmers.statistics(_postings(spark, sf_dir))
+    return kmers.statistics(kmers.coded(_postings(spark, sf_dir), K))
 
 
 @query(f"WITH {POSTINGS} SELECT id, pos, kmer FROM postings WHERE kmer IN (SELECT kmer FROM postings GROUP BY kmer HAVING count(*) < 4)")
@@ -174,9 +176,15 @@ def linear_score(spark, sf_dir):
     groups = _hits(spark, sf_dir).select("read_id", "target_id", "diag").distinct()
     items = _items(spark, sf_dir).select(F.col("id").alias("read_id"), F.col("seq").alias("q"))
     docs = fixtures.sequences(spark, sf_dir, "documents", "doc_id").select(F.col("id").alias("target_id"), F.col("seq").alias("t"))
-    own = groups.join(items, "read_id").join(docs, "target_id").withColumn("r", F.substring("t", (F.col("diag") + 1).cast("int"), F.length("q")))
+    own = _whole_scores(groups, items, docs)
+    return own.select("read_id", "target_id", "diag", "errors", "score", (F.col("errors") < F.floor(F.length("q") * 55 / 1000)).alias("verified"))
+
+
+def _whole_scores(groups, reads, targets):
+    """(read_id, target_id, diag, q, errors, score) of whole reads (read_id, q) on their diagonals of targets (target_id, t)."""
+    own = groups.join(reads, "read_id").join(targets, "target_id").withColumn("r", F.substring("t", (F.col("diag") + 1).cast("int"), F.length("q")))
     own = own.filter("diag >= 0 and diag + length(q) <= length(t)").withColumn("errors", genome.mismatches("q", "r"))
-    return own.select("read_id", "target_id", "diag", "errors", (F.length("q") - 3 * F.col("errors")).cast("long").alias("score"), (F.col("errors") < F.floor(F.length("q") * 55 / 1000)).alias("verified"))
+    return own.select("read_id", "target_id", "diag", "q", "errors", (F.length("q") - 3 * F.col("errors")).cast("long").alias("score"))
 
 
 def _aligned(spark, sf_dir):
@@ -186,18 +194,94 @@ def _aligned(spark, sf_dir):
 
 
 @query()
-def banded_score(spark, sf_dir):
+def alignment_cascade(spark, sf_dir):
     """The whole scoring cascade, with gaps where nothing else fits; held against brute force in the tests."""
-    return _aligned(spark, sf_dir)[0]
+    items = _items(spark, sf_dir).select(F.col("id").alias("read_id"), "seq")
+    docs = fixtures.sequences(spark, sf_dir, "documents", "doc_id").select(F.col("id").alias("tran_idx"), "seq")
+    return align.score_groups(kmers.diagonals(_hits(spark, sf_dir)), items, docs, K)
+
+
+WIDTH, DROP, QUOTA = 3, 12, 15
+#: The band's row i from row i - 1 (f, from column 0), its best cell, and whether the extension has stopped.
+BANDED = f"""WITH RECURSIVE {_seq('benchmark', 'item_id', 'items')},
+  pair AS (SELECT id, substr(seq, 1, 20) AS q, substr(seq, 1, 5 + id % 7) || CASE WHEN id % 3 = 0 THEN 'A' WHEN id % 3 = 1 THEN 'CC' ELSE '' END || substr(seq, 6 + id % 7 + id % 2, 12) AS r FROM items WHERE len(seq) >= 24),
+  dp AS (
+    SELECT id, q, r, 0 AS i, list_transform(range(0, len(q) + 1), lambda j: CASE WHEN j <= {WIDTH} THEN -3 * j ELSE -1000000 END) AS f,
+      0 AS best, 0 AS best_i, 0 AS best_j, CASE WHEN len(q) <= {WIDTH} THEN -3 * len(q) ELSE -1000000 END AS e, 0 AS e_i, false AS stopped FROM pair
+    UNION ALL
+    SELECT id, q, r, i + 1, f2, CASE WHEN top > best THEN top ELSE best END, CASE WHEN top > best THEN i + 1 ELSE best_i END, CASE WHEN top > best THEN list_position(f2, top) - 1 ELSE best_j END,
+      CASE WHEN f2[len(q) + 1] > e THEN f2[len(q) + 1] ELSE e END, CASE WHEN f2[len(q) + 1] > e THEN i + 1 ELSE e_i END, greatest(best, top) - greatest(0, top) > {DROP}
+    FROM (SELECT *, list_max(f2[2:]) AS top FROM (SELECT *, list_transform(range(0, len(q) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda l: g[l + 1] - 3 * (j - l)))
+        + CASE WHEN j > 0 AND abs(j - i - 1) > {WIDTH} THEN -1000000 ELSE 0 END) AS f2
+      FROM (SELECT *, list_transform(range(0, len(q) + 1), lambda j: CASE WHEN j = 0 THEN CASE WHEN i + 1 <= {WIDTH} THEN -3 * (i + 1) ELSE -1000000 END WHEN abs(j - i - 1) > {WIDTH} THEN -1000000
+        ELSE greatest(f[j] + CASE WHEN substr(q, CAST(j AS INT), 1) = substr(r, CAST(i + 1 AS INT), 1) THEN 1 ELSE -2 END, f[j + 1] - 3) END) AS g FROM dp WHERE NOT stopped AND i < len(r) AND i + 1 - {WIDTH} <= len(q))))
+  ), last AS (SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1),
+  told AS (SELECT *, NOT stopped AND e >= len(q) - {QUOTA} AS whole, best >= best_j - {QUOTA} AS part FROM last)
+SELECT id, CAST(CASE WHEN whole THEN e_i WHEN part THEN best_i ELSE 0 END AS BIGINT) AS ref_letters, CAST(CASE WHEN whole THEN len(q) WHEN part THEN best_j ELSE 0 END AS BIGINT) AS read_letters,
+  CAST(CASE WHEN whole THEN e WHEN part THEN best ELSE 0 END AS BIGINT) AS score FROM told"""
+
+
+@query(BANDED)
+def banded_score(spark, sf_dir):
+    """Gapped extensions in a band, of items against themselves with letters put in and left out."""
+    own = _items(spark, sf_dir).filter("length(seq) >= 24")
+    put = F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "CC").otherwise("")
+    ref = F.concat(F.expr("substring(seq, 1, cast(5 + id % 7 as int))"), put, F.expr("substring(seq, cast(6 + id % 7 + id % 2 as int), 12)"))
+    return align.extensions(own.select("id", ref.alias("ref"), F.substring("seq", 1, 20).alias("seq")), WIDTH, DROP, QUOTA)
 
 
-@query()
+#: Reads of 60 letters of each document, a wrong one in every third; the odd documents are the genome, the even ones transcripts.
+GENOME = f"""{POSTINGS}, slices AS (SELECT id, substr(seq, CAST(1 + id % 20 AS INTEGER), 60) AS s FROM docs),
+  gr AS (SELECT id, CASE WHEN id % 3 = 0 THEN substr(s, 1, 30) || translate(substr(s, 31, 1), 'ACGT', 'CGTA') || substr(s, 32) ELSE s END AS seq FROM slices WHERE len(s) = 60),
+  g AS (SELECT * FROM docs WHERE id % 2 = 1),
+  strands AS (SELECT id AS read_id, 0 AS strand, seq FROM gr UNION ALL SELECT id, 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM gr),
+  ends AS (SELECT *, unnest(range(len(seq), 18, -13)) AS e FROM strands),
+  gk AS (SELECT id AS chr_idx, pos, substr(seq, pos + 1, 19) AS kmer FROM (SELECT id, seq, unnest(range(0, len(seq) - 18)) AS pos FROM g WHERE len(seq) >= 19)),
+  rare AS (SELECT * FROM gk WHERE kmer IN (SELECT kmer FROM gk GROUP BY kmer HAVING count(*) < 5000)),
+  gh AS (SELECT ends.*, chr_idx, pos + 19 - e AS diag, g.seq AS gs FROM ends JOIN rare ON kmer = substr(ends.seq, CAST(e - 18 AS INTEGER), 19) JOIN g ON g.id = chr_idx),
+  gx AS (SELECT *, list_filter(range(1, len(seq) + 1), lambda p: diag + p < 1 OR substr(seq, p, 1) <> substr(gs, diag + p, 1)) AS wrong FROM gh),
+  gy AS (SELECT *, e - coalesce(list_max(list_filter(wrong, lambda p: p <= e)), 0) AS letters FROM gx),
+  gm AS (SELECT * FROM gy QUALIFY letters = max(letters) OVER (PARTITION BY read_id, strand, e)),
+  few AS (SELECT * FROM gm QUALIFY count(*) OVER (PARTITION BY read_id, strand, e) < 5000),
+  ghits AS (SELECT read_id, CAST(strand AS INTEGER) AS strand, chr_idx, diag, CAST(sum(letters) AS BIGINT) AS covered, CAST(min(len(wrong)) AS BIGINT) AS errors FROM few
+    WHERE diag >= 0 AND diag + len(seq) <= len(gs) GROUP BY read_id, strand, chr_idx, diag HAVING sum(letters) >= 40 OR min(len(wrong)) = 0)"""
+
+
+def _genome_reads(spark, sf_dir):
+    s = F.expr("substring(seq, cast(1 + id % 20 as int), 60)")
+    own = fixtures.sequences(spark, sf_dir, "documents", "doc_id").select(F.col("id").alias("read_id"), s.alias("s")).filter("length(s) = 60")
+    wrong = F.concat(F.substring("s", 1, 30), F.translate(F.substring("s", 31, 1), "ACGT", "CGTA"), F.substring("s", 32, 29))
+    return own.select("read_id", F.when(F.col("read_id") % 3 == 0, wrong).otherwise(F.col("s")).alias("seq"))
+
+
+def _genome_hits(spark, sf_dir):
+    docs = fixtures.sequences(spark, sf_dir, "documents", "doc_id").select(F.col("id").alias("chr_idx"), "seq")
+    return genome.genome_hits(_genome_reads(spark, sf_dir), docs.filter("chr_idx % 2 = 1"))
+
+
+@query(f"WITH {GENOME} SELECT read_id, strand, chr_idx, diag, covered, errors FROM ghits")
+def genome_hits(spark, sf_dir):
+    """Reads on both strands of the genome."""
+    return _genome_hits(spark, sf_dir)
+
+
+@query(
+    f"""WITH {GENOME}, rs AS (SELECT id AS read_id, seq AS q, unnest(range(0, 60 - {K} + 1, {STRIDE})) AS off FROM gr),
+    p AS (SELECT DISTINCT rs.read_id, rs.q, postings.id AS target_id, pos - off AS diag FROM rs JOIN postings ON kmer = substr(q, CAST(off + 1 AS INTEGER), {K}) WHERE postings.id % 2 = 0),
+    j AS (SELECT p.read_id, q, substr(d.seq, CAST(diag + 1 AS INTEGER), 60) AS r FROM p JOIN docs d ON d.id = target_id WHERE diag >= 0 AND diag + 60 <= len(d.seq)),
+    errs AS (SELECT read_id, CAST(list_sum(list_transform(range(1, 61), lambda p: CASE WHEN substr(q, p, 1) = substr(r, p, 1) THEN 0 ELSE 1 END)) AS BIGINT) AS err FROM j),
+    best AS (SELECT read_id, min(err) AS err FROM errs WHERE err <= (60 * 55) // 1000 GROUP BY read_id), near AS (SELECT read_id, min(errors) AS errors FROM ghits GROUP BY read_id)
+    SELECT i.id AS read_id, CASE WHEN best.err > 0 AND near.errors < best.err THEN 3 WHEN best.err IS NOT NULL THEN 1 WHEN near.errors < (60 * 55) // 1000 THEN 3 ELSE 0 END AS class
+    FROM gr i LEFT JOIN best ON best.read_id = i.id LEFT JOIN near ON near.read_id = i.id"""
+)
 def genome_veto(spark, sf_dir):
-    """Reads judged against the other half of the documents as a genome."""
-    aligned, items, docs = _aligned(spark, sf_dir)
-    best = aligned.filter("tran_idx % 2 = 0").groupBy("read_id").agg(F.max("score").cast("long").alias("score")).join(items.select("read_id", F.length("seq").alias("length")), "read_id")
-    hits = genome.genome_hits(items, docs.filter("tran_idx % 2 = 1").select(F.col("tran_idx").alias("chr_idx"), "seq"), least=genome.SEED)
-    return genome.classify(items, best, hits, test_unaligned=True)
+    """The best whole alignment of each read to the transcripts, judged against the genome."""
+    reads = _genome_reads(spark, sf_dir)
+    found = kmers.seed_join(kmers.coded(kmers.seeds(reads, K, "read_id", plain=True), K), kmers.coded(_postings(spark, sf_dir).filter("id % 2 = 0"), K))
+    docs = fixtures.sequences(spark, sf_dir, "documents", "doc_id").select(F.col("id").alias("target_id"), F.col("seq").alias("t"))
+    own = _whole_scores(found.select("read_id", "target_id", "diag").distinct(), reads.withColumnRenamed("seq", "q"), docs)
+    best = own.filter(F.col("errors") <= F.floor(F.length("q") * 55 / 1000)).groupBy("read_id").agg(F.max("score").alias("score"), F.max(F.length("q")).alias("length"))
+    return genome.classify(reads, best, _genome_hits(spark, sf_dir), test_unaligned=True)
 
 
 @query("WITH p AS (SELECT unnest(range(0, 13)) * 8 + 20 AS n) SELECT n, (n * 55) // 1000 AS max_err, (n * 400) // 1000 AS partial, (n * 650) // 1000 AS accept FROM p")
@@ -384,3 +468,165 @@ def zip_pairs(spark, sf_dir):
     own = fixtures.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("len"), n.alias("ordinal"))
     side = lambda role, p: own.filter(F.col("role") == role).select("conv_id", "ordinal", F.col("turn").alias(f"{p}_turn"), F.col("len").alias(f"{p}_len"))
     return side("user", "r1").join(side("assistant", "r2"), ["conv_id", "ordinal"]).select("conv_id", "ordinal", "r1_turn", "r2_turn", "r1_len", "r2_len")
+
+
+# --- files ---------------------------------------------------------------------------
+# Written from the driver's tables into the shared folder, and read as a sequencer's or an annotator's.
+
+CONTIGS = """contigs AS (SELECT doc_id AS id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', '', 'g') AS seq, coalesce(lang, 'xx') AS lang,
+  regexp_replace(upper(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 26)), '[^ACGT]', 'N', 'g') AS tag FROM documents WHERE len(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', '', 'g')) > 0)"""
+
+
+@query(f"WITH {CONTIGS} SELECT CAST(id % 2 AS INTEGER) AS lane, row_number() OVER (PARTITION BY id % 2 ORDER BY id) - 1 AS ordinal, 'r' || id AS name, 'lang=' || lang AS info, seq, '+' AS note, CAST(len(seq) AS BIGINT) AS qual_len FROM contigs")
+def fastq_scan(spark, sf_dir):
+    out = None
+    for lane, path in enumerate(fixtures.fastq_lanes(spark, sf_dir)):
+        own = readers.reads(spark, path).select(F.lit(lane).alias("lane"), F.col("ordinal").cast("long").alias("ordinal"), "name", "info", "seq", "note", F.length("qual").cast("long").alias("qual_len"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(
+    f"""WITH {CONTIGS} SELECT CAST(id % 2 AS INTEGER) AS pair_id, row_number() OVER (PARTITION BY id % 2 ORDER BY id) - 1 AS ordinal, 'r' || id AS r1_name, tag AS r1_seq, 'r' || id AS r2_name, seq AS r2_seq
+    FROM contigs WHERE len(tag) = 26"""
+)
+def read_pairs_scan(spark, sf_dir):
+    """Packed files of two-line FASTA records, several lanes, paired by place."""
+    own = readers.read_pairs(spark, *fixtures.tagged_pairs(spark, sf_dir))
+    return own.withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@query(f"WITH {CONTIGS} SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, 'd' || id AS name, seq FROM contigs")
+def fasta_scan(spark, sf_dir):
+    own = readers.fasta(spark, fixtures.genome_file(spark, sf_dir))
+    return own.select(F.col("ordinal").cast("long").alias("ordinal"), "name", "seq")
+
+
+#: Lines of the annotation file, with the line number; a comment and a blank line come first.
+FEATURES = f"""{CONTIGS}, n AS (SELECT id, len(seq) AS n FROM contigs WHERE len(seq) >= 120),
+  raw AS (
+    SELECT id, 0 AS part, 'gene' AS feature, 1 AS beg, n AS stop, 'G' || id AS gene_id, CASE WHEN id % 3 <> 0 THEN 'N' || (id % 50) END AS gene_name, NULL AS transcript_id, 'd' || id AS chr FROM n
+    UNION ALL SELECT id, 1, 'gene', 1, n, 'G' || id, 'again', NULL, 'd' || id FROM n WHERE id % 7 = 0
+    UNION ALL SELECT id, 2, 'transcript', 1, n, CASE WHEN id % 5 <> 0 THEN 'G' || id END, NULL, 'T' || id, 'd' || id FROM n
+    UNION ALL SELECT id, 3, 'CDS', 1, n, NULL, NULL, 'T' || id, 'd' || id FROM n
+    UNION ALL SELECT id, k + 4, 'exon', 60 * k + 1, 60 * k + 30 + id % 20, NULL, NULL, CASE WHEN k % 3 <> 1 THEN 'T' || id END, 'd' || id FROM (SELECT id, unnest(range(0, (n - 50) // 60 + 1)) AS k FROM n)
+    UNION ALL SELECT id, 1 << 30, 'gene', 1, n, 'U' || id, NULL, NULL, 'u' || id FROM n WHERE id % 11 = 0),
+  feats AS (SELECT *, row_number() OVER (ORDER BY id, part) + 1 AS line_no, CAST(id % 2 AS INTEGER) AS strand FROM raw)"""
+
+
+@query(f"WITH {FEATURES} SELECT line_no, chr, feature, CAST(beg AS BIGINT) AS beg, CAST(stop AS BIGINT) AS \"end\", strand, gene_id, gene_name, transcript_id FROM feats")
+def gtf_scan(spark, sf_dir):
+    return readers.gtf(spark, fixtures.gtf_file(spark, sf_dir))
+
+
+def _model(spark, sf_dir):
+    """chromosomes, genes, transcripts, exons and spliced sequences of the files."""
+    chroms = refmodel.chromosomes(readers.fasta(spark, fixtures.genome_file(spark, sf_dir)))
+    feats = refmodel.features(readers.gtf(spark, fixtures.gtf_file(spark, sf_dir)), chroms.select("name", "chr_idx"))
+    genes = refmodel.genes(feats)
+    trans = refmodel.transcripts(feats, genes)
+    exons = refmodel.exons(feats, trans)
+    return chroms, genes, trans, exons, refmodel.spliced(exons, trans, chroms)
+
+
+@query(f"WITH {CONTIGS} SELECT row_number() OVER (ORDER BY id) - 1 AS chr_idx, 'd' || id AS name, CAST(len(seq) AS BIGINT) AS len, CAST(sum(len(seq)) OVER (ORDER BY id) - len(seq) AS BIGINT) AS \"offset\" FROM contigs")
+def chromosome_rows(spark, sf_dir):
+    return refmodel.chromosomes(readers.fasta(spark, fixtures.genome_file(spark, sf_dir))).drop("seq")
+
+
+GENE_ROWS = "gene_rows AS (SELECT row_number() OVER (ORDER BY id) - 1 AS gene_idx, 'G' || id AS gene_id, CASE WHEN id % 3 <> 0 THEN 'N' || (id % 50) ELSE 'G' || id END AS gene_name, id, CAST(id % 2 AS INTEGER) AS strand, CAST(n AS BIGINT) AS n FROM n)"
+
+
+@query(f"WITH {FEATURES}, {GENE_ROWS} SELECT gene_idx, gene_id, gene_name, strand, CAST(1 AS BIGINT) AS beg, n AS \"end\" FROM gene_rows")
+def gene_rows(spark, sf_dir):
+    return _model(spark, sf_dir)[1].select("gene_idx", "gene_id", "gene_name", "strand", "beg", "end")
+
+
+@query(f"WITH {FEATURES}, {GENE_ROWS} SELECT gene_idx AS tran_idx, 'T' || id AS tran_id, gene_idx, strand FROM gene_rows")
+def transcript_rows(spark, sf_dir):
+    return _model(spark, sf_dir)[2].select("tran_idx", "tran_id", "gene_idx", "strand")
+
+
+EXON_ROWS = f"{FEATURES}, {GENE_ROWS}, exon_rows AS (SELECT g.gene_idx AS tran_idx, f.id, CAST(beg AS BIGINT) AS beg, CAST(stop AS BIGINT) AS stop, f.strand FROM feats f JOIN gene_rows g ON g.id = f.id WHERE feature = 'exon')"
+
+
+@query(f"WITH {EXON_ROWS} SELECT tran_idx, beg, stop AS \"end\" FROM exon_rows")
+def exon_rows(spark, sf_dir):
+    return _model(spark, sf_dir)[3]
+
+
+SPLICED = f"""{EXON_ROWS}, joined AS (SELECT e.tran_idx, e.id, e.strand, string_agg(substr(c.seq, e.beg, e.stop - e.beg + 1), '' ORDER BY e.beg) AS fwd FROM exon_rows e JOIN contigs c ON c.id = e.id GROUP BY e.tran_idx, e.id, e.strand),
+  trans AS (SELECT tran_idx, id, CASE WHEN strand = 1 THEN reverse(translate(fwd, 'ACGT', 'TGCA')) ELSE fwd END AS seq FROM joined)"""
+
+
+@query(f"WITH {SPLICED} SELECT tran_idx, 'T' || id AS tran_id, CAST(len(seq) AS BIGINT) AS tran_len, CAST(sum(len(seq)) OVER (ORDER BY tran_idx) - len(seq) AS BIGINT) AS tran_beg, seq FROM trans")
+def spliced_sequences(spark, sf_dir):
+    return _model(spark, sf_dir)[4].select("tran_idx", "tran_id", "tran_len", "tran_beg", "seq")
+
+
+@query(f"WITH {SPLICED}, w AS (SELECT *, unnest(range(0, (len(seq) + 79) // 80)) AS k FROM trans) SELECT 'G' || id || '_T' || id AS name, count(*) AS n_lines, CAST(max(len(seq)) AS BIGINT) AS letters, min(seq) AS seq FROM w GROUP BY id")
+def transcript_fasta(spark, sf_dir):
+    """Spliced sequences written as FASTA in lines of 80, and read again."""
+    _, genes, trans, _, spliced = _model(spark, sf_dir)
+    path = f"{storage.scratch(spark, 'fasta')}/transcripts.fasta"
+    sinks.transcript_fasta(spliced.join(genes.select("gene_idx", "gene_id"), "gene_idx"), path)
+    lines = readers.lines(spark, path).filter("not startswith(value, '>')")
+    if_long = lines.agg(F.max(F.length("value"))).first()[0] or 0
+    if if_long > 80:
+        raise ValueError("a line has more than 80 letters")
+    back = readers.fasta(spark, path)
+    return back.select("name", F.expr("(length(seq) + 79) div 80").alias("n_lines"), F.length("seq").cast("long").alias("letters"), "seq")
+
+
+#: Cells and counts of the reads that ``fixtures.cell_reads`` makes; no read has an error, so it lies where its letters stand.
+LETTER = "substr('ACGT', CAST((({0}) >> (2 * {1})) & 3 AS INTEGER) + 1, 1)"
+BC = " || ".join(LETTER.format(f"CASE WHEN id % 13 = 0 THEN xor(cell, 1024) ELSE cell END", k) for k in reversed(range(16)))  # noqa: F541
+UMI = " || ".join(LETTER.format("tag", k) for k in reversed(range(10)))
+COUNTED = f"""{SPLICED}, r AS (SELECT id, j, ((id % {fixtures.CELLS}) * 2654435761) % 4294967296 AS cell, (id * 7919 + j * 104729) % 1048576 AS tag, substr(seq, 13 * j + 1, {fixtures.READ}) AS seq
+    FROM (SELECT *, unnest(range(0, {fixtures.READS})) AS j FROM trans) WHERE len(seq) >= 13 * j + {fixtures.READ}),
+  q AS (SELECT id, j, seq, {BC} AS bc, {UMI} AS umi FROM r),
+  lies AS (SELECT q.id, q.j, q.bc, q.umi, min(t.id) AS gene FROM q JOIN trans t ON contains(t.seq, q.seq) GROUP BY ALL HAVING count(DISTINCT t.id) = 1),
+  mol AS (SELECT DISTINCT bc, umi, gene FROM lies), sizes AS (SELECT bc, count(*) AS n FROM mol GROUP BY bc),
+  dom AS (SELECT DISTINCT s.bc FROM sizes s JOIN sizes o ON hamming(s.bc, o.bc) = 1 AND o.n >= s.n),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, bc) AS rank FROM sizes),
+  white AS (SELECT bc, n, rank FROM ranked WHERE rank < coalesce((SELECT min(rank) FROM ranked JOIN dom USING (bc)), 1 << 60) AND n >= (SELECT max(n) // 100 FROM sizes)),
+  fixed AS (SELECT s.bc, min(w.bc) AS target FROM sizes s JOIN white w ON hamming(s.bc, w.bc) = 1 WHERE s.bc NOT IN (SELECT bc FROM white) GROUP BY s.bc HAVING count(*) = 1),
+  merged AS (SELECT DISTINCT target AS bc, umi, gene FROM mol JOIN (SELECT bc, bc AS target FROM white UNION ALL SELECT bc, target FROM fixed) USING (bc)),
+  dedup AS (SELECT * FROM merged m WHERE NOT EXISTS (SELECT 1 FROM merged o WHERE o.bc = m.bc AND o.gene = m.gene AND hamming(o.umi, m.umi) = 1 AND o.umi > m.umi))"""
+
+
+def counted_files(spark, sf_dir, **options) -> tuple[workflow.Counted, str]:
+    """``index`` and ``count`` over files: what they made, and the folder."""
+    out = storage.scratch(spark, "count")
+    paths = workflow.index(spark, fixtures.genome_file(spark, sf_dir), fixtures.gtf_file(spark, sf_dir), out)
+    r1, r2 = fixtures.cell_reads(spark, spark.read.parquet(paths["transcripts"]))
+    return workflow.count(spark, out, r1, r2, out, **options), out
+
+
+@query(f"WITH {COUNTED} SELECT 'G' || gene AS gene_id, bc AS barcode, count(*) AS cnt FROM dedup GROUP BY gene, bc")
+def count_files(spark, sf_dir):
+    """The whole of ``index`` and ``count``: from FASTA, GTF and FASTQ files to barcodes.tsv, features.tsv and matrix.mtx, which are read again."""
+    done, _ = counted_files(spark, sf_dir)
+    matrix = sinks.read_matrix_market(spark, done.files["matrix"])
+    cells_ = readers.lines(spark, done.files["barcodes"]).select((F.col("row") + 1).alias("cell_col"), F.col("value").alias("barcode"))
+    genes = readers.lines(spark, done.files["features"]).select((F.col("row") + 1).alias("gene_row"), F.split("value", "\t")[0].alias("gene_id"))
+    return matrix.join(cells_, "cell_col").join(genes, "gene_row").select("gene_id", "barcode", "cnt")
+
+
+@query(f"WITH {COUNTED} SELECT count(*) AS n_reads, count(*) AS n_exonic, CAST(0 AS BIGINT) AS n_unmapped, CAST(0 AS BIGINT) AS n_intronic, CAST(0 AS BIGINT) AS n_intergenic FROM q")
+def count_summary(spark, sf_dir):
+    """Read classes of the same run, and a line of them in a log."""
+    done, out = counted_files(spark, sf_dir)
+    return workflow.log_summary(done, f"{out}/loomcell.log")
+
+
+@query(
+    f"""WITH {SPLICED}, reads AS (SELECT id, j, substr(seq, 13 * j + 1, {fixtures.READ}) AS seq FROM (SELECT *, unnest(range(0, {fixtures.READS})) AS j FROM trans) WHERE len(seq) >= 13 * j + {fixtures.READ})
+    SELECT 'q' || r.id || '_' || j AS name, 'T' || t.id AS tran_id, 'G' || t.id AS gene_id, CAST({fixtures.READ} AS BIGINT) AS score,
+      CAST(len(list_filter(range(1, len(t.seq) - {fixtures.READ} + 2), lambda p: substr(t.seq, p, {fixtures.READ}) = r.seq)) AS BIGINT) AS n FROM reads r JOIN trans t ON contains(t.seq, r.seq)"""
+)
+def dumped_alignments(spark, sf_dir):
+    """The alignments file of the same run: one row for each read, transcript and place, here counted by place."""
+    done, _ = counted_files(spark, sf_dir, dump_align=True)
+    own = spark.read.csv(done.files["alignments"], sep="\t", schema="name string, tran_id string, gene_id string, pos long, score long")
+    return own.groupBy("name", "tran_id", "gene_id", "score").agg(F.countDistinct("pos").alias("n"))

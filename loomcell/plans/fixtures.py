@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomcell import storage
+from loomcell.functions import alphabet
+
 BC_LEN, UMI_LEN = 8, 6
 
 
@@ -38,3 +41,97 @@ def interval_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     ivs = e.filter("event_id % 50 = 0").select(F.col("event_id").alias("gid"), "strand", F.col("t").alias("s"), (F.col("t") + 600_000_000).alias("e"))
     qs = e.filter("event_id % 50 <> 0").select(F.col("event_id").alias("qid"), "strand", F.col("t").alias("qs"), (F.col("t") + 60_000_000).alias("qe"))
     return ivs, qs
+
+
+# --- files of the engine's kinds, written from the driver's tables ----------------------
+
+#: Pairs of files; a document's reads lie in that of its id's remainder.
+LANES = 2
+CELLS, READS, READ = 12, 3, 98
+
+
+def write_file(df: DataFrame, order: list[str], label: str, packed: bool = False) -> str:
+    """One text file of the column ``line`` in order, in the shared folder: what a sequencer or an annotator delivers."""
+    folder = f"{storage.scratch(df.sparkSession, label)}/{label}"
+    df.coalesce(1).sortWithinPartitions(*order).select("line").write.option("compression", "gzip" if packed else "none").text(folder)
+    return storage.parts(df.sparkSession, folder)[0]
+
+
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, seq, lang): documents that have letters of A, C, G and T."""
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("xx")).alias("lang"))
+    return sequences(spark, sf_dir, "documents", "doc_id").filter("length(seq) > 0").join(langs, "id")
+
+
+def fastq_lanes(spark: SparkSession, sf_dir: str) -> list[str]:
+    own = contigs(spark, sf_dir)
+    record = F.concat(F.lit("@r"), F.col("id"), F.lit("/1 lang="), F.col("lang"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.expr("repeat('I', length(seq))"))
+    return [write_file(own.filter(F.col("id") % LANES == lane).select("id", record.alias("line")), ["id"], f"lane{lane}") for lane in range(LANES)]
+
+
+def tagged_pairs(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[str]]:
+    """Packed two-line FASTA files: 26 letters of each document, N for others than A, C, G and T, and all its A, C, G and T."""
+    tags = letters(spark, sf_dir).filter("length(seq) >= 26").select("id", alphabet.normalise(F.substring("seq", 1, 26)).alias("tag"))
+    own = contigs(spark, sf_dir).join(tags, "id")
+    out = []
+    for mate, column in ((1, "tag"), (2, "seq")):
+        record = F.concat(F.lit(">r"), F.col("id"), F.lit(f"/{mate}\tx\n"), F.col(column))
+        out.append([write_file(own.filter(F.col("id") % LANES == lane).select("id", record.alias("line")), ["id"], f"pair{mate}-{lane}", True) for lane in range(LANES)])
+    return out[0], out[1]
+
+
+def genome_file(spark: SparkSession, sf_dir: str) -> str:
+    """A contig of each document, in lines of 60."""
+    own = contigs(spark, sf_dir)
+    wrapped = F.regexp_replace(F.regexp_replace("seq", "(.{60})", "$1\n"), "\n$", "")
+    return write_file(own.select("id", F.concat(F.lit(">d"), F.col("id"), F.lit(" of "), F.col("lang"), F.lit("\n"), wrapped).alias("line")), ["id"], "genome")
+
+
+def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, part, line): a gene, its transcript and exons on each contig of 120 letters or more, with missing attributes, repeated genes, lines of other kinds and unknown contigs."""
+    own = contigs(spark, sf_dir).filter("length(seq) >= 120").select("id", F.length("seq").alias("n"))
+    strand = F.when(F.col("id") % 2 == 1, "-").otherwise("+")
+
+    def line(kind: str, beg, end, attributes, chrom="d"):
+        return F.concat_ws("\t", F.concat(F.lit(chrom), F.col("id")), F.lit("own"), F.lit(kind), beg.cast("string"), end.cast("string"), F.lit("."), strand, F.lit("."), attributes)
+
+    said = lambda key, mark: F.concat(F.lit(f'{key} "{mark}'), F.col("id"), F.lit('";'))
+    one, n = F.lit(1), F.col("n")
+    named = F.concat(said("gene_id", "G"), F.when(F.col("id") % 3 != 0, F.concat(F.lit(' gene_name "N'), F.col("id") % 50, F.lit('";'))).otherwise(F.lit("")))
+    exon = own.select("id", "n", F.explode(F.expr("sequence(0, cast((n - 50) div 60 as int))")).alias("k"))
+    beg = F.col("k") * 60 + 1
+    end = F.col("k") * 60 + 30 + F.col("id") % 20
+    of = F.when(F.col("k") % 3 == 1, F.lit("note 1;")).otherwise(said("transcript_id", "T"))
+    parts = [
+        own.select("id", F.lit(0).alias("part"), line("gene", one, n, named).alias("line")),
+        own.filter("id % 7 = 0").select("id", F.lit(1).alias("part"), line("gene", one, n, F.concat(said("gene_id", "G"), F.lit(' gene_name "again";'))).alias("line")),
+        own.select("id", F.lit(2).alias("part"), line("transcript", one, n, F.concat(F.when(F.col("id") % 5 != 0, said("gene_id", "G")).otherwise(F.lit("")), said("transcript_id", "T"))).alias("line")),
+        own.select("id", F.lit(3).alias("part"), line("CDS", one, n, said("transcript_id", "T")).alias("line")),
+        exon.select("id", (F.col("k") + 4).alias("part"), line("exon", beg, end, of).alias("line")),
+        own.filter("id % 11 = 0").select("id", F.lit(1 << 30).alias("part"), line("gene", one, n, said("gene_id", "U"), "u").alias("line")),
+        spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(-1).alias("part"), F.lit("#!made of documents\n").alias("line")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def gtf_file(spark: SparkSession, sf_dir: str) -> str:
+    return write_file(annotation(spark, sf_dir), ["id", "part"], "genes")
+
+
+def cell_reads(spark: SparkSession, transcripts: DataFrame) -> tuple[list[str], list[str]]:
+    """Pairs of a barcode with tag and a read of each transcript: up to ``READS`` of ``READ`` letters, of one of ``CELLS`` cells, a wrong letter in the barcode of each 13th."""
+    own = transcripts.filter(F.length("seq") >= READ).withColumn("id", F.expr("cast(substring(tran_id, 2) as long)"))
+    own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(READS - 1)))).filter(F.expr(f"13 * j + {READ} <= length(seq)"))
+    cell = F.expr(f"((id % {CELLS}) * 2654435761) % 4294967296")
+    bc = alphabet.decode(F.when(F.col("id") % 13 == 0, cell.bitwiseXOR(F.lit(1 << 10))).otherwise(cell), 16, 4)
+    umi = alphabet.decode(F.expr("(id * 7919 + j * 104729) % 1048576"), 10, 4)
+    own = own.select("id", "j", bc.alias("bc"), umi.alias("umi"), F.expr(f"substring(seq, 13 * j + 1, {READ})").alias("seq"))
+    out = []
+    for mate, body in ((1, F.concat("bc", "umi")), (2, F.col("seq"))):
+        record = F.concat(F.lit("@q"), F.col("id"), F.lit("_"), F.col("j"), F.lit(f"/{mate}\n"), body, F.lit("\n+\n"), F.expr("repeat('I', length(body))"))
+        lines = own.withColumn("body", body).select("id", "j", record.alias("line"))
+        out.append([write_file(lines.filter(F.col("id") % LANES == lane), ["id", "j"], f"reads{mate}-{lane}") for lane in range(LANES)])
+    return out[0], out[1]
