@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomcell.storage import discard, materialise, shared_dir
+
+__all__ = ["discard", "materialise", "row_key", "session", "shared_dir", "table", "texts"]
+
 #: Rows and bytes per Arrow batch, whichever is reached first; a single row may be larger.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
@@ -29,53 +29,6 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a temporary one of this machine, but only if the whole job runs on
-    this machine; on a cluster executors would write to different disks, so that is an error.
-    """
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='loomcell-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def _folder(spark: SparkSession, path: str):
-    """A Hadoop path and its file system."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it again.
-
-    Lineage ends at the files, so a lost executor costs no upstream work, and the
-    file sizes give the planner true statistics.  The folder goes when ``discard`` is
-    called, or else when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{quote(label)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where, files = _folder(spark, path)
-    files.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lc_path = path
-    return out
-
-
-def discard(*written: DataFrame) -> None:
-    """Delete what ``materialise`` wrote; nothing that still reads it may run afterwards."""
-    for df in written:
-        where, files = _folder(df.sparkSession, df._lc_path)
-        files.delete(where, True)
-        files.cancelDeleteOnExit(where)
-
-
 def row_key(df: DataFrame):
     """A 64-bit digest of a whole row; equal rows have equal digests."""
     return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
