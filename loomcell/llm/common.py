@@ -31,7 +31,8 @@ def session(df: DataFrame) -> SparkSession:
 
 def row_key(df: DataFrame):
     """A 64-bit digest of a whole row; equal rows have equal digests."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    own = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]  # maps have no hash
+    return F.xxhash64(*own)
 
 
 def texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:

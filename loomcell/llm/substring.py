@@ -3,6 +3,7 @@
 Units of over ``LONG`` words are cut, and neighbouring ones of too few words for a digest of
 their own are put together, at words whose hash says so: where a passage is cut depends
 on the passage, not on what stands before it.
+In scripts without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) every letter counts as a word.
 Units are normalised (case, white space and the marks at their ends do not count) and hashed
 to 128 bits; digests are grouped over all documents; the occurrence of least rank
 (document id, then offset) is kept and the others are duplicates.  Short units are
@@ -30,11 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomcell.llm.common import materialise, session, table, texts
+from loomcell.llm.common import discard, materialise, session, table, texts
 
 #: Ends of units; what follows the match begins the next one.
-BOUNDARY = {"line": re.compile(r"\n+"), "paragraph": re.compile(r"\n\s*\n"), "sentence": re.compile(r"\n+|(?<=[.!?])\s+")}
+BOUNDARY = {"line": re.compile(r"\n+"), "paragraph": re.compile(r"\n\s*\n"), "sentence": re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。！？｡])(?=[^。！？｡\n])")}
 WORD = re.compile(r"\S+")
+#: Letters of scripts that are written without spaces.
+SPACELESS = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+ANY_SPACELESS, LETTER_OR_WORD = re.compile(f"[{SPACELESS}]"), re.compile(rf"[{SPACELESS}]|[^\s{SPACELESS}]+")
 UNIT_WORDS, MIN_WORDS = 3, 20
 #: Words of a unit beyond which it is cut, after one word in CUT; short units are put together up to one that ends on one word in JOIN.
 LONG, CUT, JOIN = 24, 8, 4
@@ -54,7 +58,13 @@ def units(text: str, unit: str) -> list[tuple[int, int]]:
 
 def normal(text: str) -> list[str]:
     """Words of a unit, in lower case, without the marks at the unit's ends."""
-    return text.lower().strip(" \t\r\n.,;:!?\"'()*#|-").split()
+    text = text.lower().strip(" \t\r\n.,;:!?\"'()*#|-。、，！？；：「」『』（）｡\u3000")
+    return text.split() if spaced(text) else LETTER_OR_WORD.findall(text)
+
+
+def spaced(text: str) -> bool:
+    """Whether white space parts the words of a text."""
+    return text.isascii() or not ANY_SPACELESS.search(text)
 
 
 def _marks(word: str, one_in: int) -> bool:
@@ -64,7 +74,7 @@ def _marks(word: str, one_in: int) -> bool:
 def cut_units(text: str, start: int, end: int, unit_words: int) -> list[tuple[int, int]]:
     """A long unit in parts of ``unit_words`` words or more, each ending on a word whose hash says so; the last one as it comes."""
     out, begin, n, last = [], None, 0, start
-    for m in WORD.finditer(text, start, end):
+    for m in (WORD if spaced(text[start:end]) else LETTER_OR_WORD).finditer(text, start, end):
         begin = m.start() if begin is None else begin
         n, last = n + 1, m.end()
         if n >= unit_words and _marks(m[0].lower(), CUT):
@@ -137,13 +147,15 @@ def duplicate_spans(
     docs: DataFrame, unit: str = "sentence", unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Spans to remove: doc_id, doc (digest of its text), start, end, n_units, n_words, and kept_doc_id, kept_start, kept_end of the first unit's kept occurrence."""
-    found = digests(docs, unit, unit_words, doc_id, text)
+    found = materialise(digests(docs, unit, unit_words, doc_id, text), "digests")  # read twice: texts are cut and hashed once
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "doc", "start", "end")
     least = found.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(rank).alias("kept"), F.max(rank).alias("last"))
     least = least.filter("n > 1 and kept <> last").select("hi", "lo", "kept")
-    again = found.join(materialise(least, "repeated"), ["hi", "lo"])
-    again = again.withColumn("rank", rank).filter("rank <> kept").drop("hi", "lo")
-    again = materialise(again.select("doc_id", "doc", "no", "words", "start", "end", "kept"), "duplicates").dropDuplicates(["doc_id", "doc", "no"])
+    least = materialise(least, "repeated")
+    again = found.join(least, ["hi", "lo"]).withColumn("rank", rank).filter("rank <> kept").drop("hi", "lo")
+    again = materialise(again.select("doc_id", "doc", "no", "words", "start", "end", "kept"), "duplicates")
+    discard(found, least)
+    again = again.dropDuplicates(["doc_id", "doc", "no"])
     # Neighbouring duplicates of a document have equal no - row_number; a document bounds the window.
     run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id", "doc").orderBy("no"))
     runs = again.withColumn("run", run).groupBy("doc_id", "doc", "run")

@@ -79,3 +79,18 @@ def test_a_passage_is_cut_alike_wherever_it_stands(mark, words):
 def test_short_units_alone_get_no_digest():
     assert substring.hashed_units("Yes. No.", "sentence", 3) == []
     assert [w for *_, w in substring.hashed_units("One two three. Yes. Four five six.", "sentence", 3)] == [["one", "two", "three"], ["four", "five", "six"]]
+
+
+def test_scripts_without_spaces(spark):
+    """A passage of letters without a space is found in another document; short ones are left alone."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = "。".join(letters(rng.randrange(6, 60)) for _ in range(6)) + "。"
+    thai = "".join(chr(rng.randrange(0xE01, 0xE2F)) for _ in range(300))
+    rows = [(1, passage, "", ""), (2, letters(30) + "。" + passage + letters(9), "", ""), (3, "短い。" + letters(40), "", ""), (4, "短い。" + letters(40), "", ""), (5, thai, "", ""), (6, thai, "", "")]
+    got = {r.doc_id: r for r in substring.duplicate_spans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(got) == {2, 6} and got[2].n_words >= 20
+    assert passage.startswith(rows[1][1][got[2].start : got[2].end][:20]) and got[2].end - got[2].start >= len(passage) - 1
+    assert got[6].end - got[6].start >= 250
+    mine = {(r.doc_id, r.start, r.end, r.n_words, r.kept_doc_id, r.kept_start, r.kept_end) for r in got.values()}
+    assert mine == plain(rows, "sentence")
