@@ -103,6 +103,29 @@ def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = above
 
 
+def _forest_pairs(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j), nearest first, those that join components that were still apart."""
+    open_ = label[i] != label[j]
+    i, j = i[open_], j[open_]
+    by = np.argsort(far[open_], kind="stable")
+    i, j = i[by], j[by]
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    taken = []
+    for k, (a, b) in enumerate(zip(label[i].tolist(), label[j].tolist(), strict=True)):
+        a, b = top(a), top(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            taken.append(k)
+    return i[taken], j[taken]
+
+
 def _spread(lo1, hi1, lo2, hi2, most: int):
     """Index pairs under each pair of nodes, in batches of about ``most``."""
     n2 = hi2 - lo2
@@ -120,14 +143,16 @@ def _spread(lo1, hi1, lo2, hi2, most: int):
 
 
 def trie_join(
-    fps: np.ndarray, label: np.ndarray, root: int, budget: int, leaf: int = 16, most: int = 1 << 18, whole: np.ndarray | None = None, whole_budget: int = 0
-) -> None:
+    fps: np.ndarray, label: np.ndarray, root: int, budget: int, leaf: int = 16, most: int = 1 << 18, whole: np.ndarray | None = None, whole_budget: int = 0,
+    pairs: list | None = None,
+) -> None:
     """Unite in ``label`` all pairs within ``budget`` bits that agree in their first ``root`` bits.
 
     ``fps`` is sorted (unsigned); ``label`` starts as the components already known,
     as indexes of smallest members.  With ``whole``, the rows of words of wider
     fingerprints of which ``fps`` are a part, a pair must be within ``whole_budget``
-    bits there too.
+    bits there too, and ``pairs`` gets the pairs (arrays i and j) that made a spanning
+    forest of the links, the nearest ones of each batch first.
     """
     n = len(fps)
     if n < 2:
@@ -154,8 +179,12 @@ def trie_join(
                 near = (np.bitwise_count(fps[i] ^ fps[j]) <= limit) & (i != j)
                 i, j = i[near], j[near]
                 if whole is not None:
-                    near = np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1, dtype=np.int64) <= far
+                    apart = np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1, dtype=np.int64)
+                    near = apart <= far
                     i, j = i[near], j[near]
+                    if pairs is not None and len(i):
+                        i, j = _forest_pairs(label, i, j, apart[near])
+                        pairs.append((i, j))
                 _unite(label, i, j)
             lo1, hi1, lo2, hi2, err = (x[~small] for x in (lo1, hi1, lo2, hi2, err))
             if not len(lo1):

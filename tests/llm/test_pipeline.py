@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from loomcell.llm import packing, pii, widehash
+from loomcell.llm import packing, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,14 +31,17 @@ def test_pipeline_equals_a_plain_walk(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     clean = {d: t for d, t, *_ in rows if d < 300 or d == 300}
-    fps = {d: int.from_bytes(widehash.wide_fingerprint(t, corpus_pipeline.SHINGLE)) for d, t in clean.items()}
+    sets = {}
+    for d, t in clean.items():
+        w = t.lower().split()
+        sets[d] = {tuple(w[k : k + corpus_pipeline.SHINGLE]) for k in range(len(w) - corpus_pipeline.SHINGLE + 1)}
     group = {d: d for d in clean}
     changed = True
     while changed:
         changed = False
         for a in clean:
             for b in clean:
-                if bin(fps[a] ^ fps[b]).count("1") <= corpus_pipeline.BUDGET and group[b] < group[a]:
+                if len(sets[a] & sets[b]) >= corpus_pipeline.SIMILAR * (len(sets[a]) * len(sets[b])) ** 0.5 and group[b] < group[a]:
                     group[a], changed = group[b], True
     kept = {d: t for d, t in clean.items() if group[d] == d}
     assert len(kept) <= 81
