@@ -17,7 +17,8 @@ global sort: sources are cut into hash buckets, about as many as the root of the
 number of rows, bucket sizes are summed up and rows are ranked inside a bucket.
 
 Defined results: a null source is a source of its own; sources without a weight get
-``default_weight``; weights must be positive integers; rows with equal contents,
+``default_weight``; weights must be positive integers; over ``MOST_SOURCES`` sources or weights that
+sum up to over ``MOST_SLOTS`` are an error, as the driver simulates a period for each phase; rows with equal contents,
 repeated ones too, take neighbouring places in any order; an empty table gives no
 rows.  Other columns, null or not, ride along.
 """
@@ -37,6 +38,8 @@ from loomcell.llm.common import materialise, row_key, table
 #: The target of the registered query and of the pipeline; other sources weigh 1.
 WEIGHTS: dict[str, int] = {"src0": 4, "src1": 3, "src2": 2}
 BLOCK = 16
+#: Bounds of what the driver plans: sources, and slots of a period.
+MOST_SOURCES, MOST_SLOTS = 1000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -107,14 +110,18 @@ def ranked(docs: DataFrame, source: str, total: int) -> DataFrame:
 def interleave(docs: DataFrame, weights: Mapping = WEIGHTS, block: int = BLOCK, source: str = "source", default_weight: int = 1) -> tuple[DataFrame, int]:
     """All rows with mix_block (of their source, from 0), mix_slot and mix_position (gapless from 0), and the number of rows.
 
-    The driver holds one row for each source, which a list of target weights bounds.
+    The driver holds one row for each source, of which there are at most ``MOST_SOURCES``.
     """
-    counts = {r[0]: r[1] for r in docs.groupBy(source).agg(F.count("*")).collect()}
+    counts = {r[0]: r[1] for r in docs.groupBy(source).agg(F.count("*")).limit(MOST_SOURCES + 1).collect()}
+    if len(counts) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources: mix by a coarser column")
     total = sum(counts.values())
     order = sorted(counts, key=lambda s: (s is None, str(s)))
     own = {s: int(weights.get(s, default_weight)) for s in order}
     if any(w < 1 for w in own.values()):
         raise ValueError("weights must be positive integers")
+    if sum(own.values()) > MOST_SLOTS:
+        raise ValueError(f"weights sum up to over {MOST_SLOTS}: scale them down")
     phases = plan({s: -(-counts[s] // block) for s in order}, own)
     # For each phase and source: blocks [low, high) lie at start + k // w * period + slots[k % w].
     rows = []

@@ -18,7 +18,7 @@ task holds a few trees, and every block is sent to each task, pruned there.
 Defined results: null vectors and those with null or non-finite components take no
 part, nor do null ids; vectors of another length are not compared; a repeated id counts
 once, with its smallest vector; fewer candidates than k give fewer rows; an empty
-table gives none.  Components must be below 2^24 in size after scaling.
+table gives none.  A component of over 2^24 in size after scaling is an error: scores would not be exact.
 """
 
 from __future__ import annotations
@@ -153,6 +153,8 @@ def integer_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     v = F.transform(embedding, lambda x: F.floor(F.lit(scale) * x.cast("double")))
     valid = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     own = rows.filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).filter(valid)
+    most = F.lit(1 << 24)
+    v = F.transform(v, lambda x: F.when(F.abs(x) > most, F.raise_error(F.lit("a component is over 2^24 after scaling")).cast("long")).otherwise(x))
     return own.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -278,10 +280,10 @@ def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+  SELECT vec_id, min(v) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) GROUP BY vec_id
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
