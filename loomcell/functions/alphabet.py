@@ -35,17 +35,17 @@ def digit(code: Column, place: int, base: int = 5) -> Column:
 
 
 def decode(code: Column, length: int, base: int = 5) -> Column:
-    """The sequence of a code."""
-    return F.concat(*[F.substring(F.lit(LETTERS), digit(code, k, base).cast("int") + 1, F.lit(1)) for k in reversed(range(length))])
+    """The sequence of a code; one expression of constant size, as the optimizer walks a copy for each letter many times."""
+    powers = F.array(*[F.lit(base**k).cast("long") for k in reversed(range(length))])
+    letters = F.transform(powers, lambda p: F.substring(F.lit(LETTERS), (F.call_function("div", code - code % p, p) % base).cast("int") + 1, F.lit(1)))
+    return F.when(code.isNotNull(), F.array_join(letters, ""))
 
 
 def neighbours(seq: Column, length: int) -> Column:
     """All sequences with one letter exchanged for another of A C G T; none gets a new N."""
-    def at(p: int) -> list[Column]:
-        own = F.substring(seq, p, 1)
-        return [F.when(own != c, F.concat(F.substring(seq, 1, p - 1), F.lit(c), F.substring(seq, p + 1, length))) for c in "ACGT"]
-
-    return F.filter(F.array(*[x for p in range(1, length + 1) for x in at(p)]), lambda x: x.isNotNull())
+    others = lambda p: F.filter(F.array(*map(F.lit, "ACGT")), lambda c: c != F.substring(seq, p, F.lit(1)))
+    changed = lambda p, c: F.concat(F.substring(seq, F.lit(1), p - 1), c, F.substring(seq, p + 1, F.lit(length)))
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(length)), lambda p: F.transform(others(p), lambda c: changed(p, c))))
 
 
 def code_neighbours(code: Column, length: int) -> Column:
