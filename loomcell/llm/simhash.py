@@ -127,19 +127,15 @@ def _forest_pairs(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarr
 
 
 def _spread(lo1, hi1, lo2, hi2, most: int):
-    """Index pairs under each pair of nodes, in batches of about ``most``."""
+    """Index pairs under each pair of nodes, at most ``most`` at once."""
     n2 = hi2 - lo2
     sizes = (hi1 - lo1) * n2
     ends = np.cumsum(sizes)
-    start = 0
-    while start < len(sizes):
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
-        own = sizes[start:stop]
-        at = np.repeat(np.arange(start, stop), own)
-        k = np.arange(len(at)) - np.repeat(np.cumsum(own) - own, own)
+    for base in range(0, int(ends[-1]) if len(ends) else 0, most):
+        k = np.arange(base, min(base + most, int(ends[-1])))
+        at = np.searchsorted(ends, k, "right")
+        k -= ends[at] - sizes[at]
         yield lo1[at] + k // n2[at], lo2[at] + k % n2[at]
-        start = stop
 
 
 def trie_join(
@@ -176,7 +172,7 @@ def trie_join(
                 continue
             small = ((hi1 - lo1) * (hi2 - lo2) <= leaf * leaf) | (depth >= 64)
             for i, j in _spread(lo1[small], hi1[small], lo2[small], hi2[small], most):
-                near = (np.bitwise_count(fps[i] ^ fps[j]) <= limit) & (i != j)
+                near = (np.bitwise_count(fps[i] ^ fps[j]) <= limit) & (label[i] != label[j])
                 i, j = i[near], j[near]
                 if whole is not None:
                     apart = np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1, dtype=np.int64)

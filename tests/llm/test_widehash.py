@@ -106,3 +106,19 @@ def test_one_of_each_similar(spark):
     ids = [r.doc_id for r in got.collect()]
     assert sorted(ids, key=str) == sorted([1, 8, None, 7, 6], key=str)
     assert widehash.one_of_each_similar(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pairs_under_large_nodes_come_in_bounded_parts():
+    nodes = [np.array(x) for x in ([0, 5, 7], [5, 6, 7], [0, 6, 7], [5, 9, 9])]
+    got = [(int(i), int(j)) for a, b in simhash._spread(*nodes, 4) for i, j in zip(a, b, strict=True)]
+    assert got == [(i, j) for lo, hi, lo2, hi2 in zip(*nodes, strict=True) for i in range(lo, hi) for j in range(lo2, hi2)]
+    assert [len(a) for a, _ in simhash._spread(*nodes, 4)] == [4] * 7
+    assert not list(simhash._spread(*(x[:0] for x in nodes), 4))
+
+
+def test_wide_fingerprints_whose_trie_bits_are_all_equal_make_one_forest():
+    rng = np.random.default_rng(8)
+    words = np.zeros((3000, 4), np.uint64)
+    words[:, 3] = rng.permutation(1 << 12)[:3000].astype(np.uint64)
+    batch = widehash._forest(words, None, np.arange(64), 8, 12)
+    assert batch.num_rows == 2999
