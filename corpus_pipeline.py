@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack_documents(docs)
+    """Pieces of all documents in sequences of 2048 tokens, whose ids follow the order of the documents: that of the mix."""
+    return packing.pack_documents(docs, in_order=True)
 
 
 STAGES = [

@@ -12,9 +12,13 @@ hash into shards of a bounded size, and each shard takes its share of the counts
 global order.  Token ids never leave the tokenizing task: a piece's CRC is taken
 there.
 
+With ``in_order`` the order of the rows, such as that of a mix, is the order of sequence
+ids: shards are then runs of about ``RUN`` neighbouring rows, and the sequences of a run
+are numbered by the mean place of their tokens.  So a row's pieces stay within its run.
+
 Defined results: a null text is an empty one, which is the single id 1; repeated
 rows (and rows with a null doc_id) are packed one by one; equal lengths are taken
-in the order of doc_id and start; an empty table gives no rows.
+in the order of doc_id and start, with ``in_order`` of place and start; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcell.llm.common import materialise, session, table, texts
+from loomcell.llm.common import file_starts, materialise, row_places, session, table, texts
 
 WINDOW = 2048
 END_ID = 1
 #: Pieces in a shard, on average.
 SHARD = 12_000
+#: Rows in a shard, on average, where their order is kept.
+RUN = 512
 #: Width of a length bin, and the most pieces of a combination.
 GRAIN, DEPTH = 32, 4
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -108,11 +114,14 @@ def cut(ids: bytes, window: int) -> list[tuple[int, int, int]]:
     return [(s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)])) for s in range(0, n, window)]
 
 
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """Pieces of every row: PIECES and ``salt``, which tells rows with equal ids apart if their texts differ."""
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, path: str | None = None, in_order: bool = False) -> DataFrame:
+    """Pieces of every row: PIECES and ``salt``, which tells rows with equal ids apart if their texts differ; ``in_order`` adds part and row, the row's place."""
     session(docs)
     path = path or tokenizer_path()
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("salt"), F.col(text).alias("text"))
+    rest = {"salt": F.xxhash64(text)} | (dict(zip(("part", "row"), row_places(docs), strict=True)) if in_order else {})
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(c.alias(name) for name, c in rest.items()))
+
+    rest_names = list(rest)
 
     def split(batches):
         encode = encoder(path)
@@ -123,10 +132,10 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
             at = pa.array(np.repeat(np.arange(len(found)), counts))
             flat = np.array([p for f in found for p in f], np.int64).reshape(-1, 3)
             tokens = np.repeat(np.array([f[-1][0] + f[-1][1] for f in found], np.int64), counts)
-            columns = [batch.column(0).take(at), *(pa.array(flat[:, k]) for k in range(3)), pa.array(tokens), batch.column(1).take(at)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+            columns = [batch.column(0).take(at), *(pa.array(flat[:, k]) for k in range(3)), pa.array(tokens), *(batch.column(name).take(at) for name in rest_names)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *rest_names])
 
-    return own.mapInArrow(split, f"{PIECES}, salt long")
+    return own.mapInArrow(split, f"{PIECES}, salt long" + ", part string, row long" * in_order)
 
 
 # --- the model -----------------------------------------------------------------------
@@ -279,27 +288,54 @@ class _ByAmount:
         return need + (rest & -rest).bit_length() - 1 if rest else 0
 
 
-def pack(found: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """Pieces with sequence_id and offset.  ``found`` has PIECES and salt."""
+def pack(found: DataFrame, window: int = WINDOW, shard: int = SHARD, in_order: bool = False) -> DataFrame:
+    """Pieces with sequence_id and offset.  ``found`` has PIECES and salt, with ``in_order`` part and row too."""
     found = materialise(found, "pieces")
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # up to ``window`` rows
     histogram = np.array([counts.get(k, 0) for k in range(window + 1)], float)
     plan, total = solve(histogram, window), max(1, sum(counts.values()))
-    shards = max(1, round(total / shard))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(shards)))
+    if in_order:
+        dealt, by = _runs(found), ["place", "start"]
+    else:
+        shards = max(1, round(total / shard))
+        dealt, by = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(shards))), ["doc_id", "start", "salt"]
 
     def pack_shard(key, held):
-        held = held.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("salt", "ascending")])
-        sequence, offset = assign(held.column("length").to_numpy(), plan, held.num_rows / total, window)
+        held = held.sort_by([(name, "ascending") for name in by])
+        lengths = held.column("length").to_numpy()
+        sequence, offset = assign(lengths, plan, held.num_rows / total, window)
+        if in_order:
+            sequence = by_place(sequence, lengths, held.column("place").to_numpy())
         held = held.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         return held.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 36))).append_column("offset", pa.array(offset))
 
     return dealt.groupBy("shard").applyInArrow(pack_shard, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, path: str | None = None) -> DataFrame:
+def _runs(found: DataFrame) -> DataFrame:
+    """``found`` with place, its row's from 0 in the order of all rows, and shard, the run of that.  The driver holds one row for each file."""
+    sizes = {r["part"]: r["n"] for r in found.groupBy("part").agg((F.max("row") + 1).alias("n")).collect()}
+    rows = sum(sizes.values())
+    run = max(1, -(-rows // max(1, round(rows / RUN))))
+    starts = found.sparkSession.createDataFrame(list(file_starts(sizes).items()), "part string, before long")
+    placed = found.join(F.broadcast(starts), "part").withColumn("place", F.col("before") + F.col("row"))
+    return placed.withColumn("shard", F.expr(f"place div {run}"))
+
+
+def by_place(sequence: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sequences numbered anew from 0, by the mean place of their tokens."""
+    tokens = np.bincount(sequence, lengths)
+    mean = np.bincount(sequence, lengths * (places - places.min()).astype(float)) / tokens
+    number = np.empty(len(tokens), np.int64)
+    number[np.argsort(mean, kind="stable")] = np.arange(len(tokens))
+    return number[sequence]
+
+
+def pack_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, path: str | None = None, in_order: bool = False
+) -> DataFrame:
     """Every row's ids in windows; see the module."""
-    return pack(pieces(docs, doc_id, text, window, path), window)
+    return pack(pieces(docs, doc_id, text, window, path, in_order), window, in_order=in_order)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

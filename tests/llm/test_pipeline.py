@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from loomcell.llm import packing, pii
+from loomcell.llm import mixing, packing, pii
+from loomcell.llm.common import file_starts, materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -60,3 +61,45 @@ def test_stages_return_the_columns_of_documents_and_take_empty_tables(spark):
             assert out.columns == docs.columns, name
             assert out.dtypes == docs.dtypes
             out.count()
+
+
+def assert_in_order(got, place, run):
+    """Runs follow each other, and so do the sequences in them by the mean place of their tokens."""
+    got = sorted(got, key=lambda r: (r.sequence_id, r.offset))
+    assert [place[r.doc_id] // run for r in got] == sorted(place[r.doc_id] // run for r in got)
+    sequences = {}
+    for r in got:
+        sequences.setdefault((place[r.doc_id] // run, r.sequence_id), []).append(r)
+    means = [(k, sum(r.length * place[r.doc_id] for r in own) / sum(r.length for r in own)) for (k, _), own in sequences.items()]
+    assert means == sorted(means) and len({k for k, _ in means}) > 2
+
+
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 40, raising=False)
+    rng = random.Random(5)
+    rows = [(k, prose(rng, rng.choice([5, 40, 3000])), "en", rng.choice(["src0", "src1", "src7", None]), 1) for k in rng.sample(range(10**6), 280)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    place = {r.doc_id: r.mix_position for r in mixing.interleave(docs)[0].collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, None)
+    written = materialise(mixed, "mixed")
+    for given in (written, mixed):
+        assert_in_order(corpus_pipeline.pack_sequences(spark, given, None).collect(), place, 40)
+    backwards = {d: len(rows) - 1 - k for d, k in place.items()}
+    turned = spark.createDataFrame(sorted(rows, key=lambda r: backwards[r[0]]), SCHEMA)
+    assert_in_order(corpus_pipeline.pack_sequences(spark, materialise(turned, "turned"), None).collect(), backwards, 40)
+
+
+def test_the_pipeline_keeps_the_mix(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 20, raising=False)
+    spark.createDataFrame(documents(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = materialise(stage(spark, docs, str(tmp_path)), name)
+    place = {r.doc_id: r.mix_position for r in mixing.interleave(docs)[0].collect()}
+    run = -(-len(place) // round(len(place) / 20))
+    assert_in_order(corpus_pipeline.run(spark, str(tmp_path)).collect(), place, run)
+
+
+def test_files_are_ordered_by_the_numbers_in_their_names():
+    sizes = {"a/part-100000-x1-c000": 1, "a/part-99999-x1-c001": 2, "a/part-99999-x1-c000": 3, "a/part-00002-x1-c000": 4}
+    assert file_starts(sizes) == {"a/part-00002-x1-c000": 0, "a/part-99999-x1-c000": 4, "a/part-99999-x1-c001": 7, "a/part-100000-x1-c000": 9}
